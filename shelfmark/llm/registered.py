@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, quality
+from . import bpe, media, quality
 
-MODULES = [media, quality]
+MODULES = [bpe, media, quality]
 
 
 def queries() -> dict:
