@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, media, quality
+from . import bpe, langid, media, packing, quality, sharding
 
-MODULES = [bpe, media, quality]
+MODULES = [bpe, langid, media, packing, quality, sharding]
 
 
 def queries() -> dict:
