@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, media, packing, pii, quality, sharding
+from . import bpe, langid, media, packing, pii, quality, sharding, warc
 
-MODULES = [bpe, langid, media, packing, pii, quality, sharding]
+MODULES = [bpe, langid, media, packing, pii, quality, sharding, warc]
 
 
 def queries() -> dict:
