@@ -76,10 +76,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64, of exponents 0 to n at least."""
+    global _powers
+    if len(_powers[0]) <= n:
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        size = 1 << int(n + 1).bit_length()
+        _powers = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, b)]) for b in (_BASE, inverse))
+    return _powers
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same in every task; each distinct word is hashed once."""
-    import xxhash
+    """A 64-bit hash of each byte range, the same in every task: differences of one running polynomial sum."""
+    power, inverse = _power_tables(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts])
 
-    coded = binary_array(data, starts, ends).dictionary_encode()
-    of = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return of[coded.indices.to_numpy()]
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, begins): the words, each followed by one space, and where each begins (and the end of all)."""
+    lengths = ends - starts
+    begins = np.r_[0, np.cumsum(lengths + 1)]
+    out = np.full(begins[-1], 32, np.uint8)
+    body = data[ranges_mask(len(data), starts, ends)]
+    out[np.arange(len(body)) + np.repeat(np.arange(len(starts)), lengths)] = body
+    return out, begins
