@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, media, packing, pii, quality, sharding, substrings, warc
+from . import bpe, langid, media, neardup, packing, pii, quality, sharding, substrings, warc
 
-MODULES = [bpe, langid, media, packing, pii, quality, sharding, substrings, warc]
+MODULES = [bpe, langid, media, neardup, packing, pii, quality, sharding, substrings, warc]
 
 
 def queries() -> dict:
