@@ -167,7 +167,7 @@ def export_files(normalized: DataFrame, uri: str) -> DataFrame:
         for batch in batches:
             for name, content, offsets, lengths in zip(*(batch.column(c).to_pylist() for c in ("archive", "content", "offsets", "lengths"))):
                 for path, data in ((name, content), (name + ".idx", "".join(f"{a} {n}\n" for a, n in zip(offsets, lengths)).encode())):
-                    with store.open_output_stream(f"{base}/{path}") as out:
+                    with store.open_output_stream(f"{base}/{path}", compression=None) as out:
                         out.write(data)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64())], ["archive", "bytes"])
 
