@@ -23,10 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: a lost executor then never
-    forces the steps before it to run again, and their results can't differ between two reads."""
+    forces the steps before it to run again, and their results can't differ between two reads.
+
+    Spark removes the shuffle files of finished steps when the driver collects garbage, so that is asked for here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shelfmark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, table
+from .shared import bounded_batches, materialize, table
 from .textcols import joined_words, mix, slices, utf8, word_bounds, word_hashes
 
 WINDOW = 13
@@ -223,22 +223,27 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(buckets: int, hot: np.ndarray):
-    """(bucket, h, doc, text_hash, pos, n): where each string stands."""
+    """(bucket, h, doc, at): where each string stands; at packs pos, 16 bits of the text's hash, and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_sk_text", 8 << 20):
             s = _Strings(batch.column("_sk_text"), buckets, hot)
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, s.packed()) if len(s.n) else (), np.uint64, len(s.n)).view(np.int64)
-            rid = batch.column("_sk_rid").to_numpy()
-            cols = (s.bucket, h, _ids(batch)[s.row], rid[s.row])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(s.pos, pa.int32()), pa.array(s.n, pa.int32())], ["bucket", "h", "doc", "rid", "pos", "n"])
+            rid = batch.column("_sk_rid").to_numpy()[s.row] if len(s.n) else s.n
+            cols = (s.bucket, h, _ids(batch)[s.row], s.pos << 22 | rid << 6 | s.n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bucket", "h", "doc", "at"])
 
     return run
 
 
+def _text_hash(text_col: str):
+    """16 bits that tell rows of one doc_id apart."""
+    return F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1 << 16)).alias("_sk_rid")
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """(_sk_doc, _sk_rid, hits): for each document with windows to remove, (pos, mask) of runs of windows."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_sk_doc"), F.xxhash64(F.col(text_col).cast("string")).alias("_sk_rid"), F.col(text_col).cast("string").alias("_sk_text"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_sk_doc"), _text_hash(text_col), F.col(text_col).cast("string").alias("_sk_text"))
     size = rows.agg(F.sum(F.octet_length("_sk_text"))).first()[0] or 0
     # about one word in six bytes; at most one bucket in size / (24 * bucket_windows) can be hot
     buckets = max(16, 1 << int(size / 6 / bucket_windows).bit_length())
@@ -248,9 +253,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = np.array([r.bucket for r in heavy.select("bucket").collect()], np.int64)
     sent = rows.select("_sk_doc", "_sk_text").mapInArrow(_send(buckets, hot), "bucket long, packed binary")
     judged = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge, "bucket long, h long, first long, mask long")
-    placed = rows.mapInArrow(_occurrences(buckets, hot), "bucket long, h long, doc long, rid long, pos int, n int")
+    judged = materialize(judged, "verdicts")  # the packed strings are done with
+    placed = rows.mapInArrow(_occurrences(buckets, hot), "bucket long, h long, doc long, at long")
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int")) - 1
     found = placed.join(judged, ["bucket", "h"]).select(
-        "doc", "rid", "pos", F.when(F.col("doc") == F.col("first"), F.col("mask")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1).alias("mask")
+        "doc", F.shiftright("at", 6).bitwiseAND(65535).alias("rid"), F.shiftright("at", 22).cast("int").alias("pos"), F.when(F.col("doc") == F.col("first"), F.col("mask")).otherwise(every).alias("mask")
     )
     return found.where("mask != 0").groupBy(F.col("doc").alias("_sk_doc"), F.col("rid").alias("_sk_rid")).agg(F.collect_list(F.struct("pos", "mask")).alias("_sk_hits"))
 
@@ -277,7 +284,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = ["n_words", "n_removed", "kept_sha256"]
     kept = [c for c in docs.columns if c not in own]
     hits = repeated_windows(docs, id_col, text_col, bucket_windows)
-    rows = docs.select(*kept, F.col(id_col).cast("long").alias("_sk_doc"), F.xxhash64(F.col(text_col).cast("string")).alias("_sk_rid"))
+    rows = docs.select(*kept, F.col(id_col).cast("long").alias("_sk_doc"), _text_hash(text_col))
     joined = rows.join(hits, ["_sk_doc", "_sk_rid"], "left").withColumn("_sk_hits", F.coalesce("_sk_hits", F.array().cast("array<struct<pos:int,mask:long>>"))).drop("_sk_doc", "_sk_rid")
     schema = docs.select(*(F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in kept)).schema
     for name, kind in zip(own, ("long", "long", "string")):
