@@ -21,15 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: Shuffle files go as soon as the query that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: a lost executor then never
     forces the steps before it to run again, and their results can't differ between two reads.
 
-    Spark removes the shuffle files of finished steps when the driver collects garbage, so that is asked for here."""
+    The shuffle files of the steps before are removed with the write's end: the table stands for them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shelfmark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
