@@ -28,6 +28,7 @@ from .shared import bounded_batches, table
 from .textcols import slices, utf8
 
 FEATURES = 4096
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 256  # a row has as many counts as there are features
 UNDETERMINED = "und"
 
 #: Letters in lower case and bytes of other scripts stay, all else is a space.
@@ -112,7 +113,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
             counts, langs = ngram_counts(*utf8(batch.column("text"))), np.array(batch.column("lang").to_pylist())
             for lang in set(langs.tolist()):
                 total[lang] = total.get(lang, 0) + counts[langs == lang].sum(0)
@@ -137,7 +138,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), words.shape[1]), np.int64)
         rows = np.zeros(len(languages), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
             z = model.margins(ngram_counts(*utf8(batch.column("text"))))
             own = np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
             np.add.at(total, own, z * words[own] > 0)
@@ -160,7 +161,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = np.array([*model.languages, UNDETERMINED], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE_BYTES, SLICE_ROWS):
             data, offsets = utf8(batch.column(text_col))
             told = letters(data, offsets) & bool(model.languages)
             pick, score, close = np.full(len(told), len(names) - 1), np.zeros(len(told)), np.zeros(len(told), bool)

@@ -53,8 +53,8 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, rows: np.n
     open_rows, first, last = np.bincount(rows, minlength=n) > 0, 0, 1
     while len(elements) and last < 1 << 16:
         # enough sets at a time that the darts stay few
-        for a in range(0, len(elements), max(1, (1 << 21) // (last - first))):
-            chunk = slice(a, a + max(1, (1 << 21) // (last - first)))
+        for a in range(0, len(elements), max(1, (1 << 18) // (last - first))):
+            chunk = slice(a, a + max(1, (1 << 18) // (last - first)))
             e, r = elements[chunk], rows[chunk]
             unit = np.tile(np.arange(first, last, dtype=np.uint64), len(e))
             seed = mix(np.repeat(e, last - first) ^ (unit + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))

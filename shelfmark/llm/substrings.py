@@ -102,7 +102,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 def _loads(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        for batch in slices(batches, "_sk_text", 8 << 20):
+        for batch in slices(batches, "_sk_text", 4 << 20):
             s = _Strings(batch.column("_sk_text"), buckets, none)
             where, back = np.unique(s.bucket, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(np.bincount(back, s.n, len(where)).astype(np.int64))], ["bucket", "n"])
@@ -115,7 +115,7 @@ def _send(buckets: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, "_sk_text", 8 << 20):
+        for batch in slices(batches, "_sk_text", 4 << 20):
             s = _Strings(batch.column("_sk_text"), buckets, hot)
             if not len(s.n):
                 continue
@@ -226,7 +226,7 @@ def _occurrences(buckets: int, hot: np.ndarray):
     """(bucket, h, doc, at): where each string stands; at packs pos, 16 bits of the text's hash, and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_sk_text", 8 << 20):
+        for batch in slices(batches, "_sk_text", 4 << 20):
             s = _Strings(batch.column("_sk_text"), buckets, hot)
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, s.packed()) if len(s.n) else (), np.uint64, len(s.n)).view(np.int64)
             rid = batch.column("_sk_rid").to_numpy()[s.row] if len(s.n) else s.n

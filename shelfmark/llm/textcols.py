@@ -26,14 +26,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return view, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in runs whose text has about most_bytes (a longer single text comes alone)."""
     for batch in batches:
         _, offsets = utf8(batch.column(column))
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(offsets, offsets[first] + most_bytes, side="right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
+            last = min(max(last, first + 1), first + most_rows, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
 
