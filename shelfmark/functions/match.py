@@ -140,3 +140,10 @@ def _any(x: Column, texts: Sequence[str]) -> Column:
 def valid_keyword(word: Column) -> Column:
     """At most 50 characters, and at most a quarter of them outside ASCII."""
     return (F.length(word) <= 50) & (F.regexp_count(word, F.lit(r"[^\x00-\x7F]")) * 4 <= F.length(word))
+
+
+def host_suffixes(sites: DataFrame, host: str = "hostname") -> DataFrame:
+    """sites with suffix: a row for each whole-label suffix of a host, so that domains are met by equality."""
+    parts = F.split(F.lower(host), r"\.")
+    every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return sites.withColumn("suffix", F.explode(every))

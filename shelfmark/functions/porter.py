@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _VOWEL = "aeiou"
@@ -76,8 +77,11 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
-def stem_column(words: pd.Series) -> pd.Series:
-    """Stems of a column of words, each distinct word of a batch once."""
+def _stems(words: pd.Series) -> pd.Series:
     known = {w: stem(w) for w in words.dropna().unique()}
     return words.map(known)
+
+
+def stem_column(words: Column) -> Column:
+    """Stems of a column of words, each distinct word of a batch once."""
+    return F.pandas_udf(_stems, "string")(words)

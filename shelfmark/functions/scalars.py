@@ -209,3 +209,32 @@ def substitute(c: Column, values: dict[str, str]) -> Column:
 def tokens(c: Column) -> Column:
     """Words, and double-quoted phrases as one word without their quotes."""
     return F.transform(F.regexp_extract_all(c, F.lit(r'"[^"]*"|[^\s"]+'), F.lit(0)), lambda t: F.regexp_replace(t, '"', ""))
+
+
+def named(c: Column, names: dict[str, str], other: str = "unknown") -> Column:
+    """A code's name."""
+    out = F.lit(other)
+    for code, name in names.items():
+        out = F.when(c == code, name).otherwise(out)
+    return out
+
+
+def in_rectangle(x: Column, y: Column, box: tuple) -> Column:
+    """Within (left, top, right, bottom), borders included."""
+    return x.between(box[0], box[2]) & y.between(box[1], box[3])
+
+
+def in_circle(x: Column, y: Column, centre: tuple, radius: float) -> Column:
+    dx, dy = x - centre[0], y - centre[1]
+    return dx * dx + dy * dy <= radius * radius
+
+
+def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether a ray from the point crosses an odd number of sides."""
+    odd = F.lit(False)
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]]):
+        if ay == by:
+            continue
+        crosses = (F.lit(ay) > y) != (F.lit(by) > y)
+        odd = odd != (crosses & (x < (bx - ax) * (y - ay) / (by - ay) + ax))
+    return odd

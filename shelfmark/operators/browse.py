@@ -59,9 +59,9 @@ def tree_paths(tree: DataFrame, most: int = 64) -> DataFrame:
     One equi-join a level on (tree, parent), all trees together; a level without rows ends it."""
     roots = tree.where("parent_id is null").select("tree_id", "node_id", F.concat(F.lit("/"), "name").alias("path"), F.lit(0).alias("depth"))
     done, level = roots, roots
-    below = tree.where("parent_id is not null").select("tree_id", F.col("node_id").alias("child"), "parent_id", "name")
+    below = tree.where("parent_id is not null").select(F.col("tree_id").alias("in_tree"), F.col("node_id").alias("child"), "parent_id", "name")
     for depth in range(1, most):
-        level = level.join(below, (level["tree_id"] == below["tree_id"]) & (level["node_id"] == below["parent_id"])).select(below["tree_id"], F.col("child").alias("node_id"), F.concat("path", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth"))
+        level = level.join(below, (F.col("tree_id") == F.col("in_tree")) & (F.col("node_id") == F.col("parent_id"))).select("tree_id", F.col("child").alias("node_id"), F.concat("path", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth"))
         if level.isEmpty():
             return done
         done = done.unionByName(level)

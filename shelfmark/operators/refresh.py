@@ -27,9 +27,10 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], newer: str |
     return kept.unionByName(taken.select(*kept.columns))
 
 
-def replace_sites(stored: DataFrame, incoming: DataFrame, site: str = "site_id") -> DataFrame:
-    """All rows of the incoming sites in place of the stored ones."""
-    return delete_sites(stored, incoming, site).unionByName(incoming)
+def replace_sites(stored: DataFrame, incoming: DataFrame, site: str = "site_id", sites: DataFrame | None = None) -> DataFrame:
+    """All rows of the incoming sites in place of the stored ones.  sites: those that are replaced, if some of them may
+    have no rows any more."""
+    return delete_sites(stored, incoming if sites is None else sites, site).unionByName(incoming)
 
 
 def delete_sites(stored: DataFrame, sites: DataFrame, site: str = "site_id") -> DataFrame:
@@ -106,3 +107,10 @@ def host_faults(hosts: DataFrame, known: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     return both.select(*hosts.columns, status.alias("status"))
+
+
+def record_counts(entries: DataFrame, stored: DataFrame, site: str = "site_id") -> DataFrame:
+    """(site, n, stored, agrees): a site's records here and in the stored table, each counted before they meet."""
+    n, m = entries.groupBy(site).agg(F.count("*").alias("n")), stored.groupBy(site).agg(F.count("*").alias("stored"))
+    both = n.join(m, site, "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
+    return both.withColumn("agrees", F.col("n") == F.col("stored"))

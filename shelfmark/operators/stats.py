@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.scalars import url_host
+
 
 def files_by_site(entries: DataFrame) -> DataFrame:
     """Files, directories, bytes and names of each site, and of all together (site_id null): one rollup."""
@@ -28,6 +30,19 @@ def chunks(rows: DataFrame, group: str, order: list[str], text: str, size: int)
     return rows.withColumn("chunk", F.floor(before / size))
 
 
-def changed_headings(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
-    """rows with heading: whether the column differs from that of the row before."""
-    return rows.withColumn("heading", ~F.lag(column).over(Window.partitionBy(F.lit(0)).orderBy(*order)).eqNullSafe(F.col(column)))
+def changed_headings(rows: DataFrame, column: str, order: list[str], group: list[str]) -> DataFrame:
+    """rows with heading: whether the column differs from that of the row before in its group."""
+    return rows.withColumn("heading", ~F.lag(column).over(Window.partitionBy(*group).orderBy(*order)).eqNullSafe(F.col(column)))
+
+
+def pages_by_host(pages: DataFrame) -> DataFrame:
+    """URLs and bytes of each host, and of all together (hostname null)."""
+    return pages.rollup(url_host(F.col("url")).alias("hostname")).agg(F.count("*").alias("urls"), F.sum(F.octet_length("html")).alias("bytes"))
+
+
+def request_cost(kind: Column, costs: dict[str, int], pages_before: Column, other: int = 1) -> Column:
+    """A request's place in the queue: its type's cost, and more for each page that it skips."""
+    base = F.lit(other)
+    for name, cost in costs.items():
+        base = F.when(kind == name, cost).otherwise(base)
+    return (base * (1 + pages_before)).cast("long")

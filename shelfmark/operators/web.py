@@ -38,10 +38,54 @@ def documents(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", sc.url_host(F.col("url")).alias("hostname"), sc.url_port(F.col("url")).alias("port"), sc.url_path(F.col("url")).alias("path"), title(F.col("html")).alias("title"), excerpt(F.col("html")).alias("excerpt"))
 
 
+def hrefs(html: Column) -> Column:
+    """Targets of anchors, areas and frames, as written."""
+    return F.regexp_extract_all(html, F.lit(r'(?i)<(?:a|area|frame)\s[^>]*?(?:href|src)="([^"]*)"'), F.lit(1))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(page_id, href): targets of anchors, areas and frames, as written."""
-    found = F.regexp_extract_all("html", F.lit(r'(?i)<(?:a|area|frame)\s[^>]*?(?:href|src)="([^"]*)"'), F.lit(1))
-    return pages.select("page_id", F.explode(found).alias("href"))
+    """(page_id, href), a row for each link."""
+    return pages.select("page_id", F.explode(hrefs(F.col("html"))).alias("href"))
+
+
+def external_hosts(linked: DataFrame, sites: DataFrame) -> DataFrame:
+    """Host names that are linked to and are no site yet."""
+    return linked.where("hostname != ''").select("hostname").distinct().join(sites.select("hostname"), "hostname", "left_anti")
+
+
+#: Types of documents whose text is indexed.
+INDEXABLE = ("www/", "text/html", "text/plain")
+
+
+def indexable_type(kind: Column) -> Column:
+    out = F.lit(False)
+    for start in INDEXABLE:
+        out = out | F.lower(kind).startswith(start)
+    return out
+
+
+def has_suffix(path: Column, suffixes) -> Column:
+    out = F.lit(False)
+    for end in suffixes:
+        out = out | path.endswith(end)
+    return out
+
+
+def permitted(urls: DataFrame, prefixes: DataFrame, root: str = "/") -> DataFrame:
+    """urls (hostname, path) below the root, of no script, and without those that a host's prefixes exclude.
+
+    A path is unfolded into the prefixes of the lengths that rules have, so that the anti-join is an equality."""
+    inside = urls.where(F.col("path").startswith(root) & ~F.col("path").contains("/cgi-bin/"))
+    rules = prefixes.select("hostname", F.col("prefix").alias("_prefix")).distinct()
+    sizes = rules.groupBy("hostname").agg(F.collect_set(F.length("_prefix")).alias("_sizes"))
+    told = inside.join(sizes, "hostname", "left").withColumn("_prefixes", F.transform("_sizes", lambda n: F.substr("path", F.lit(1), n)))
+    barred = told.select("hostname", "path", F.explode("_prefixes").alias("_prefix")).join(rules, ["hostname", "_prefix"], "left_semi")
+    return inside.join(barred.select("hostname", "path").distinct(), ["hostname", "path"], "left_anti")
+
+
+def keyword_lists(counts: DataFrame, doc: str) -> DataFrame:
+    """(doc, keys): a document's keywords as one text, in order."""
+    return counts.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list("key")), " ").alias("keys"))
 
 
 def keywords(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
+from shelfmark.plans import searches, streams, upkeep, values, webtext
+from shelfmark.plans.book import Query
 
-def _modules() -> list:
-    return []
+BOOKS = [searches.BOOK, webtext.BOOK, upkeep.BOOK, values.BOOK, streams.BOOK]
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: f for book in BOOKS for k, f in book.queries.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {k: f for m in _modules() for k, f in m.ORACLES.items()}
+    return {k: sql for book in BOOKS for k, sql in book.oracles.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """A substring search with domain and path filters and all three caps."""
+    return searches.whole_search(spark, sf_dir)

@@ -41,7 +41,11 @@ class FilesCatalog:
 
     @cached_property
     def entries(self) -> DataFrame:
-        rows = self.read("lineitem").join(self.names, F.col("l_partkey") == F.col("p_partkey"))
+        return self.entries_of(self.read("lineitem"))
+
+    def entries_of(self, items: DataFrame) -> DataFrame:
+        """Entries of given line items: a snapshot of the catalog."""
+        rows = items.join(self.names, F.col("l_partkey") == F.col("p_partkey"))
         rows = rows.groupBy(F.col("l_suppkey").alias("site_id"), F.col("l_orderkey").alias("dir_id"), "s").agg(F.max("l_extendedprice").alias("size"), F.max("l_shipdate").alias("mtime"))
         return rows.withColumn("path", F.concat(F.lit("/"), F.col("dir_id").cast("string"), F.lit("/"), F.col("s")))
 
