@@ -148,11 +148,9 @@ class _Pairs:
 class Bpe:
     """Encoder and decoder of one vocabulary file (tokenizers JSON of byte-level BPE, in which ids follow merge ranks)."""
 
-    CACHED = 400_000
+    CACHED = 150_000  # pretokens a worker remembers
 
     def __init__(self, path: str, classes: bytes):
-        import ahocorasick
-
         self.classes = _classes(classes)
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
@@ -175,17 +173,24 @@ class Bpe:
         self.left[merged], self.right[merged] = left, right
         self.length = np.array([len(t) for t in self.tokens], np.int64)
         self.byte_id = np.zeros(256, np.int32)
-        self.automaton = ahocorasick.Automaton()
-        ordinary = set(vocab.values())
-        for i, t in enumerate(self.tokens):
-            if i in ordinary:
-                self.automaton.add_word(t.decode("latin-1"), i)
-                if len(t) == 1:
-                    self.byte_id[t[0]] = i
-        self.automaton.make_automaton()
+        self.ordinary = sorted(set(vocab.values()))
+        for i in self.ordinary:
+            if len(self.tokens[i]) == 1:
+                self.byte_id[self.tokens[i][0]] = i
         self.token_bytes = pa.array(self.tokens, pa.large_binary())
         self.decimals = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {}
+
+    @functools.cached_property
+    def automaton(self):
+        """All ordinary tokens; only encoders need it."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for i in self.ordinary:
+            out.add_word(self.tokens[i].decode("latin-1"), i)
+        out.make_automaton()
+        return out
 
     def compatible(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Whether each pair of ids stays apart when its bytes are encoded alone.
@@ -324,12 +329,11 @@ class Bpe:
                 cache.clear()
                 new = words
             ids, ends = self.encode_words(new)
-            begins = np.r_[0, ends[:-1]].tolist()
-            for w, a, b in zip(new, begins, ends.tolist()):
-                cache[w] = ids[a:b]
+            whole, ends = ids.astype(np.int32).tobytes(), (4 * ends).tolist()
+            cache.update((w, whole[a:b]) for w, a, b in zip(new, [0, *ends[:-1]], ends))
         parts = [cache[w] for w in words]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.concatenate(parts), np.cumsum(counts) - counts, counts
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        return np.frombuffer(b"".join(parts), np.int32), np.cumsum(counts) - counts, counts
 
     def decode_batch(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of the id lists ids[ends[i]:ends[i + 1]]; bytes that are no UTF-8 become replacement characters."""
