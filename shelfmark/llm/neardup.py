@@ -280,4 +280,16 @@ def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_dart_minhash": op4_dart_minhash}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_dart_minhash": f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT text, min(doc_id) AS node, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY text),
+s AS (SELECT DISTINCT node, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS k FROM (SELECT node, w, unnest(generate_series(1, greatest(len(w) - {SHINGLE - 1}, 1))) AS i FROM t)),
+c AS (SELECT node, count(*) AS n FROM s GROUP BY node),
+p AS (SELECT x.node AS a, y.node AS b, count(*) AS m FROM s x JOIN s y ON x.k = y.k AND x.node <> y.node GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN c ca ON ca.node = a JOIN c cb ON cb.node = b WHERE 10 * m >= 8 * (ca.n + cb.n - m)),
+r AS (SELECT node, node AS root FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+f AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+g AS (SELECT *, count(*) OVER (PARTITION BY class_id) AS class_texts FROM f)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(class_texts, 1)::BIGINT AS class_texts FROM d LEFT JOIN t ON d.text = t.text LEFT JOIN g USING (node)"""
+}

@@ -114,4 +114,17 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_quality_cascade": op8_quality_cascade}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_quality_cascade": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, range({WINDOW}) AS x(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+counted AS (SELECT doc_id, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN repeated USING (doc_id) LEFT JOIN lines USING (doc_id)),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 18 * n_words OR 100 * n_dup_lines > 50 * n_lines
+    OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 60 * n_words OR 100 * len(list_filter(w, lambda x, i: x = w[i - 1])) > 30 * n_words OR 100 * len(list_distinct(w)) < 5 * n_words) AS kept
+FROM based"""
+}

@@ -314,4 +314,13 @@ def op1_substring_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_superkmer": op1_substring_superkmer}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_substring_superkmer": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM d)),
+later AS (SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, range({WINDOW}) AS t(j)),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(gone.p) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (gone.p IS NULL), '') AS body FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+}

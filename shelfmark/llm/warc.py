@@ -178,8 +178,13 @@ def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the digest join compares like with like: utf-8 bytes of the whole payload
     archives = materialize(write_archives(decide(table(spark, sf_dir, "pages"))), "warc")
     normalized = materialize(normalize(archives), "warc-members")
-    return read_records(normalized).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
+    return read_records(normalized).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op7_warc_normaliser": op7_warc_normaliser}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_warc_normaliser": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT *, CASE WHEN strlen(html) >= {LEAST_REVISIT} THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keeper FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(keeper, page_id) AS refers_to FROM k"""
+}
