@@ -68,6 +68,12 @@ def tree_paths(tree: DataFrame, most: int = 64) -> DataFrame:
     raise ValueError(f"a path has more than {most} parts")
 
 
+def preferred(hosts: DataFrame, names: DataFrame) -> DataFrame:
+    """hosts (host) with the preferred name that names (name, preferred) has for it, whatever its case."""
+    known = names.select(F.lower("name").alias("_name"), "preferred")
+    return hosts.join(known, F.lower("host") == F.col("_name"), "left").drop("_name").withColumn("preferred", F.coalesce("preferred", "host"))
+
+
 def redirected(requests: DataFrame, redirects: DataFrame) -> DataFrame:
     """requests (url) with the place that an exact redirect sends them to."""
     return requests.join(redirects.select(F.col("source").alias("url"), "target"), "url", "left").withColumn("target", F.coalesce("target", "url"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.plans import searches, streams, upkeep, values, webtext
+from shelfmark.plans import searches, streams, tables, upkeep, values, webtext
 from shelfmark.plans.book import Query
 
-BOOKS = [searches.BOOK, webtext.BOOK, upkeep.BOOK, values.BOOK, streams.BOOK]
+BOOKS = [searches.BOOK, webtext.BOOK, upkeep.BOOK, values.BOOK, tables.BOOK, streams.BOOK]
 
 
 def queries() -> dict[str, Query]:
