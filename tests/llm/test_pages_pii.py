@@ -101,6 +101,15 @@ def test_invalid_values_and_prose_stay(spark):
     assert replaced(spark, texts) == texts
 
 
+def test_values_side_by_side_are_all_found(spark):
+    values = ["+1 (826) 555-4081", "190.137.223.204", "AT61 1904 3002 3457 3201", "2024-01-02", "+44 20 7946 0958", "4845168114407329", "123-45-6789", "a.b@c.example.org"]
+    pairs = [(a, b) for a in values for b in values]
+    got = replaced(spark, [f"x {a} {b} y" for a, b in pairs] + values)
+    alone = dict(zip(values, got[len(pairs) :]))
+    assert all(alone[v] != v for v in values)
+    assert [g for g in got[: len(pairs)]] == [f"x {alone[a]} {alone[b]} y" for a, b in pairs]
+
+
 def test_linked_inside_texts(spark):
     card, mail = "4845168114407329", "jo.5@mail1.example.com"
     got = replaced(spark, [f"pay {card} now, {mail}; {card}\n", f"{mail} {card}." + " filler" * 20_000])
