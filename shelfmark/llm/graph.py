@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large stars hang a node's greater neighbours on its least one, small stars the lesser ones; both together reach a
     forest of stars in rounds of the order of a component's log size.  Least neighbours are combined before the
-    shuffle, and the join on a node with very many edges is one that Spark can split.  Each round is written out."""
+    shuffle and written out, so that both sides of the join on a node with very many edges come from tables and Spark can
+    split it.  Each round is written out."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     edges = materialize(edges, "edges")
     before = None
@@ -25,9 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(least, "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = materialize(small.distinct(), "small-star")
