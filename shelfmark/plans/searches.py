@@ -307,7 +307,7 @@ def whole_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @BOOK.files("q3_match", f"SELECT s, hostname, path FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY site_id, dir_id) AS r FROM f_entries JOIN f_sites USING (site_id) WHERE s IN (SELECT DISTINCT s FROM f_entries WHERE contains(s, 'cold') OR contains(s, 'anvil') ORDER BY s LIMIT 100) AND regexp_matches(s, 'cold|anvil')) WHERE r <= 20 ORDER BY s, site_id, dir_id LIMIT 100")
-def dirsrv_match(spark: SparkSession, d: str) -> DataFrame:
+def directory_match(spark: SparkSession, d: str) -> DataFrame:
     return shown(find.find(FilesCatalog(spark, d), "r", find.Request("cold|anvil"))).select("s", "hostname", "path")
 
 
