@@ -12,7 +12,10 @@ or key names.  One table gives patterns and one gives permutations; nothing is c
 
 Rows: a null text stays null; repeated rows get equal pseudonyms; texts of any length are searched whole; other
 columns are kept (text, n_pseudonyms and pii_kinds are the operator's own names); an empty table gives an empty table.
-Where patterns overlap, the leftmost match counts, and at one place the first format in the order of PATTERNS.
+
+A value is looked for at every place where its format can start, also inside a candidate that fails its test.  Of valid
+values that overlap the leftmost counts, and at one place the first format in the order of PATTERNS.  Telephone
+numbers, which have no check digits, are looked for last, in what the other formats leave.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ IBAN_LENGTHS = {
 _BY_LENGTH = {n: "|".join(c for c, m in IBAN_LENGTHS.items() if m == n) for n in sorted(set(IBAN_LENGTHS.values()))}
 #: What a telephone number's next group may not be the start of: an address or a date behind the number.
 _NO_PHONE = r"(?!(?:[0-9]{1,3}\.){3}[0-9]|[0-9]{4}[-/][0-9]{2}[-/][0-9]|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})"
+#: A telephone number has at most 15 digits, country code included (E.164).
+_PHONE_DIGITS = r"(?<=\+" + r"[ .()-]{0,2}[0-9]" * 8 + r"(?:[ .()-]{0,2}[0-9])?" * 7 + ")"
+#: Country codes as E.164 assigns them: no code is the start of another (fixed values).
+_COUNTRY = r"1|7|2(?:[07]|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[035789][0-9])|9(?:[0-58]|[679][0-9])"
 _NAMES = r"(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)"
 #: Formats and their patterns, in order of preference.
 PATTERNS = {
@@ -44,11 +51,14 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _BY_LENGTH.items()) + ")(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?" + _NO_PHONE + r"[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9]|-[0-9])",
+    "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?" + _NO_PHONE + r"[0-9]{2,4}){2,4}(?![0-9])" + _PHONE_DIGITS + r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9]|-[0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?![0-9])",
+    "card": r"(?<![0-9])(?!(?<=(?<![0-9+])\+)[0-9]{13,15}(?![0-9]))(?:[0-9]{13,19}|[0-9]{4}(?<a>[ -])[0-9]{4}\k<a>[0-9]{4}\k<a>[0-9]{1,7}|[0-9]{4}(?<b>[ -])[0-9]{6}\k<b>[0-9]{4,5})(?![0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All formats but telephone numbers.  At one place no two that can fail their tests match, so one candidate a place is enough.
+TESTED = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "phone")
+#: Stands for a value already found; texts may hold it too.
+_FOUND = "\ue000"
 
 
 def _let(value: Column, body) -> Column:
@@ -169,7 +179,7 @@ def _ssn(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     """Country code kept; subscriber digits (7 to 14) permuted."""
-    head = F.regexp_extract(m, r"^(\+(?:[17](?![0-9])|[0-9]{1,3}))", 1)
+    head = F.regexp_extract(m, rf"^(\+(?:{_COUNTRY}|[0-9]{{1,3}}))", 1)
     rest = F.substr(m, F.length(head) + 1, F.length(m))
     d = _digits(rest)
     return F.when(F.length(d).between(7, 14), F.concat(head, _fill(rest, _permuted_digits(d, key, "phone")))).otherwise(m)
@@ -212,18 +222,64 @@ def pseudonym(match: Column, key: str) -> Column:
     return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), match.alias("new")))
 
 
+def _covers(made: Column, pieces: Column) -> Column:
+    """For each piece how many of its first characters belong to a value that is replaced: below 0 if that value starts
+    there, above 0 if it started in a piece before, 0 if there is none.
+
+    One walk from left to right. It appends within blocks of about the root of the number of pieces, so that a text of
+    very many candidates is not copied once for each."""
+    steps = F.transform(made, lambda m, i: F.struct((m["p"]["new"] != m["old"]).alias("ok"), F.length(m["old"]).alias("size"), F.length(F.get(pieces, i + 1)).alias("room")))
+
+    def step(state: Column, x: Column) -> Column:
+        taken = (state["left"] == 0) & x["ok"]
+        cover = F.when(taken, x["size"]).otherwise(state["left"])
+        return F.struct(F.greatest(cover - x["room"], F.lit(0)).alias("left"), F.concat(state["out"], F.array(F.when(taken, -cover).otherwise(cover))).alias("out"))
+
+    def block(state: Column, xs: Column) -> Column:
+        walked = F.aggregate(xs, F.struct(state["left"].alias("left"), F.array().cast("array<int>").alias("out")), step)
+        return _let(walked, lambda w: F.struct(w["left"].alias("left"), F.concat(state["out"], F.array(w["out"])).alias("out")))
+
+    def walk(xs: Column) -> Column:
+        n = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / n).cast("int")), lambda b: F.slice(xs, b * n + 1, n))
+        start = F.struct(F.lit(0).alias("left"), F.array().cast("array<array<int>>").alias("out"))
+        return F.concat(F.array(F.lit(0)), F.flatten(F.aggregate(blocks, start, block, lambda s: s["out"])))
+
+    return F.when(F.size(made) > 0, _let(steps, walk)).otherwise(F.array(F.lit(0)))
+
+
+def _woven(gaps: Column, values: Column) -> Column:
+    """gaps with a value behind each but the last."""
+    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(values, i), F.lit("")))), "")
+
+
 def pseudonymize(df: DataFrame, key: str = "shelfmark", text_col: str = "text") -> DataFrame:
     """df with its text's personal data replaced, and n_pseudonyms and pii_kinds (sorted, distinct) of what was."""
     text = F.col(text_col)
-    matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    made = F.transform(matches, lambda m: F.struct(pseudonym(m, key).alias("p"), m.alias("old")))
-    told = df.withColumn("_made", F.when(text.rlike("[0-9@=:]"), made))
-    gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_made"), i)["p"]["new"], F.lit("")))), "")
-    changed = F.filter(F.col("_made"), lambda x: x["p"]["new"] != x["old"])
-    told = told.withColumn("_kinds", F.coalesce(F.transform(changed, lambda x: x["p"]["kind"]), F.array().cast("array<string>")))
-    new = F.when(F.size("_kinds") > 0, joined).otherwise(text)
-    return told.withColumns({text_col: new, "n_pseudonyms": F.size("_kinds"), "pii_kinds": F.array_sort(F.array_distinct("_kinds"))}).drop("_made", "_kinds")
+    # a blank before the text, so that each piece but the first starts with a candidate
+    padded = F.when(text.rlike("[0-9@=:]"), F.concat(F.lit(" "), text))
+    told = df.withColumn("_made", F.transform(F.regexp_extract_all(padded, F.lit(f"(?=({TESTED}))"), F.lit(1)), lambda m: F.struct(pseudonym(m, key).alias("p"), m.alias("old"))))
+    told = told.withColumn("_pieces", F.split(padded, f"(?={TESTED})", -1))
+    told = told.withColumn("_covers", _covers(F.col("_made"), F.col("_pieces")))
+    # what is replaced becomes a mark; _back has what each mark stands for
+    cover = lambda i: F.get(F.col("_covers"), i)
+    tail = lambda p, i: F.substr(p, F.abs(cover(i)) + 1, F.length(p))
+    marks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(_FOUND), F.lit("")))
+    own = lambda i: F.when(cover(i) < 0, F.array(F.get(F.col("_made"), i - 1)["p"])).otherwise(F.array())
+    mark = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(_FOUND).alias("new"))
+    told = told.withColumns({
+        "_text": F.array_join(F.transform("_pieces", lambda p, i: F.concat(F.when(cover(i) < 0, _FOUND).otherwise(""), tail(p, i))), ""),
+        "_back": F.flatten(F.transform("_pieces", lambda p, i: F.concat(own(i), F.array_repeat(mark, marks(tail(p, i)))))),
+    })
+    told = told.withColumn("_phones", F.transform(F.regexp_extract_all("_text", F.lit(PATTERNS["phone"]), F.lit(0)), lambda m: F.struct(m.alias("old"), _phone(m, key).alias("new"))))
+    told = told.withColumn("_text", _woven(F.split("_text", PATTERNS["phone"], -1), F.transform("_phones", lambda x: x["new"])))
+    told = told.withColumn("_text", _woven(F.split("_text", _FOUND, -1), F.transform("_back", lambda x: x["new"])))
+    phones = F.transform(F.filter("_phones", lambda x: x["new"] != x["old"]), lambda _: F.lit("phone"))
+    kinds = F.concat(F.filter(F.transform("_back", lambda x: x["kind"]), lambda k: k.isNotNull()), phones)
+    told = told.withColumn("_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
+    new = F.when(F.size("_kinds") > 0, F.substr("_text", F.lit(2), F.length("_text"))).otherwise(text)
+    told = told.withColumns({text_col: new, "n_pseudonyms": F.size("_kinds"), "pii_kinds": F.array_sort(F.array_distinct("_kinds"))})
+    return told.drop("_made", "_pieces", "_covers", "_text", "_back", "_phones", "_kinds")
 
 
 def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:

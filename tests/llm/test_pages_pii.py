@@ -110,6 +110,20 @@ def test_values_side_by_side_are_all_found(spark):
     assert [g for g in got[: len(pairs)]] == [f"x {alone[a]} {alone[b]} y" for a, b in pairs]
 
 
+def test_values_behind_failing_candidates_are_found(spark):
+    card, phone, iban, mark = "4845 1681 1440 7329", "+44 20 7946 0958", "DE89 3704 0044 0532 0130 00", "\ue000"
+    forms = ["1234 {c}", "{p} {c}", "{p} {p} {c} {c}", "{p} 12 {c} {i}", "DE88 3704 0044 0532 0130 00 {c} 1234", "1234 1234 {c} 9 {p}", mark + "{c}" + mark + " {p} " + mark, "{c}, {p}; " * 300]
+    got = replaced(spark, [f.format(c=card, p=phone, i=iban) for f in forms] + [card, phone, iban, "+442079460958", "+12025550123", "(202) 555-0123", "+35312345678"])
+    c, p, i, compact, us, local, irish = got[len(forms) :]
+    assert c != card and p != phone and i != iban
+    for form, new in zip(forms, got):
+        if "{p} 12" in form:  # digits that may belong to the number are replaced with it
+            assert new.startswith("+44 ") and new.endswith(f" {c} {i}") and "7946" not in new
+        else:
+            assert new == form.format(c=c, p=p, i=i)
+    assert compact == p.replace(" ", "") and us[2:] == re.sub("[^0-9]", "", local) and irish.startswith("+353")
+
+
 def test_linked_inside_texts(spark):
     card, mail = "4845168114407329", "jo.5@mail1.example.com"
     got = replaced(spark, [f"pay {card} now, {mail}; {card}\n", f"{mail} {card}." + " filler" * 20_000])
