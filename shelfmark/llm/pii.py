@@ -7,8 +7,8 @@ permutation depends on the key and the format alone, so equal values get equal p
 that fail their test stay as they are.
 
 Formats: payment card numbers (Luhn), IBANs (mod 97), dates (1890-01-01 to 2100-04-09), US social security numbers,
-telephone numbers, IPv4 addresses, the local part of e-mail addresses, and values assigned to password, token, secret
-or key names.  One table gives patterns and one gives permutations; nothing is collected, joined or shuffled.
+telephone numbers, IPv4 addresses, the local part of e-mail addresses, and values of any length assigned to password,
+token, secret or key names, also where these end a longer name (db_password).  One table gives patterns and one gives permutations; nothing is collected, joined or shuffled.
 
 Rows: a null text stays null; repeated rows get equal pseudonyms; texts of any length are searched whole; other
 columns are kept (text, n_pseudonyms and pii_kinds are the operator's own names); an empty table gives an empty table.
@@ -44,10 +44,11 @@ _PHONE_DIGITS = r"(?<=\+" + r"[ .()-]{0,2}[0-9]" * 8 + r"(?:[ .()-]{0,2}[0-9])?"
 #: Country codes as E.164 assigns them: no code is the start of another (fixed values).
 _COUNTRY = r"1|7|2(?:[07]|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[035789][0-9])|9(?:[0-58]|[679][0-9])"
 _NAMES = r"(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 #: Formats and their patterns, in order of preference.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": rf"(?i:\b{_NAMES}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)[A-Za-z0-9_+/.~-]{{8,512}}",
+    "email": _EMAIL,
+    "secret": rf"(?i:(?<![A-Za-z0-9]){_NAMES}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)(?!{_EMAIL})(?=[_+/.~-]*[A-Za-z0-9])[A-Za-z0-9_+/.~-]++",
     "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _BY_LENGTH.items()) + ")(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",

@@ -124,6 +124,21 @@ def test_values_behind_failing_candidates_are_found(spark):
     assert compact == p.replace(" ", "") and us[2:] == re.sub("[^0-9]", "", local) and irish.startswith("+353")
 
 
+def test_secrets_are_replaced_whole(spark):
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(5000))
+    heads = ["token=", "db_password=", "aws_secret_access_key=", "client_secret: ", "X-Api-Key: ", 'my-token = "']
+    texts = [h + v for h in heads for v in (long, long[:700], "hunter2")] + ["password=jo.5@mail1.example.com", "jo.5@mail1.example.com"]
+    got = replaced(spark, texts)
+    for old, new in zip(texts[:-2], got):
+        head = next(h for h in heads if old.startswith(h))
+        a, b = old[len(head) :], new[len(head) :]
+        assert new.startswith(head) and len(a) == len(b) and a != b
+        assert all(a[k : k + 24] != b[k : k + 24] for k in range(0, len(a) - 23, 12))
+    assert got[-2] == "password=" + got[-1] != texts[-2]
+    assert replaced(spark, ["secret: ...", "xpassword=abcdefghij", "tokens: 12"]) == ["secret: ...", "xpassword=abcdefghij", "tokens: 12"]
+
+
 def test_linked_inside_texts(spark):
     card, mail = "4845168114407329", "jo.5@mail1.example.com"
     got = replaced(spark, [f"pay {card} now, {mail}; {card}\n", f"{mail} {card}." + " filler" * 20_000])
