@@ -30,15 +30,25 @@ def refresh_stream(spark: SparkSession, d: str) -> DataFrame:
     return published(spark, folder, start)
 
 
+def _rings(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch(spark, "t6")
+    read = lambda number: published(spark, folder, None, number)
+    write = lambda df, number: df.write.mode("overwrite").parquet(batch_folder(folder, number))
+    refresh.latency_rings(landed(spark, d, "events").select("event_type", "ts", "event_id", "value"), read, write, f"{folder}/checkpoint").awaitTermination()
+    start = spark.createDataFrame([], "event_type string, n long, ring array<struct<ts: timestamp_ntz, event_id: long, value: double>>")
+    return published(spark, folder, start)
+
+
 @BOOK.query("t6_latency_state", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def latency_state(spark: SparkSession, d: str) -> DataFrame:
-    """Each type's last values kept as state by a stream; the state's count is shown."""
-    folder = scratch(spark, "t6")
-    rings = refresh.latency_rings(landed(spark, d, "events").select("event_type", "ts", "event_id", "value"))
+    """The count of the state that t6_latency_estimates shows whole."""
+    return _rings(spark, d).select("event_type", "n")
+
+
+_LATEST = "SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events"
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(folder, number))
 
-    rings.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    told = spark.read.parquet(f"{folder}/batches/*")
-    return told.groupBy("event_type").agg(F.max("n").alias("n"))
+@BOOK.query("t6_latency_estimates", f"SELECT event_type, count(*) AS n, round(greatest(5.0, sum(value) FILTER (k <= 10) / 10), 4) AS estimate FROM ({_LATEST}) GROUP BY event_type")
+def latency_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Each type's last 10 values kept as state by a stream, and the estimate over them."""
+    return _rings(spark, d).select("event_type", "n", F.round(refresh.ring_estimate(F.col("ring")), 4).alias("estimate"))

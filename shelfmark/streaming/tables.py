@@ -30,13 +30,16 @@ def _file_system(spark: SparkSession, folder: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def published(spark: SparkSession, folder: str, start: DataFrame) -> DataFrame:
-    """The table as the last whole batch left it: a batch number's folder counts once its success marker is there."""
+def published(spark: SparkSession, folder: str, start: DataFrame | None, before: int | None = None) -> DataFrame | None:
+    """The table as the last whole batch (of those before a number) left it: a batch number's folder counts once its
+    success marker is there."""
     files, path = _file_system(spark, folder)
     jvm = spark.sparkContext._jvm
     done = [s.getPath() for s in files.listStatus(path)] if files.exists(path) else []
-    done = [p for p in done if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    done = [p for p in done if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) and (before is None or int(p.getName()) < before)]
     if not done:
         return start
     last = max(done, key=lambda p: p.getName())
+    if start is None:
+        return spark.read.parquet(last.toString())
     return spark.read.schema(start.schema).parquet(last.toString()).select(*(F.col(c) for c in start.columns))

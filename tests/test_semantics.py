@@ -290,3 +290,33 @@ def test_catalog_configuration():
     got["files"].check("S")
     with pytest.raises(ValueError):
         config.catalogs("a nothing x /y\n")
+
+
+def test_latency_state_keeps_the_latest_rows(spark, tmp_path):
+    """Buckets larger than an Arrow batch, in any order, over two batches; a batch that runs again counts once."""
+    from shelfmark.streaming import refresh as streams
+    from shelfmark.streaming.tables import batch_folder, published
+
+    rows = [("a" if k % 3 else None, k, float(k)) for k in range(900)]
+    random.Random(1).shuffle(rows)
+    schema = "event_type string, event_id long, value double"
+    for part in (rows[:450], rows[450:]):
+        spark.createDataFrame(part, schema).withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    log = spark.readStream.schema(schema + ", ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    folder = f"file://{tmp_path}/state"
+
+    def write(df, number):
+        for _ in range(2):
+            df.write.mode("overwrite").parquet(batch_folder(folder, number))
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        streams.latency_rings(log, lambda number: published(spark, folder, None, number), write, f"{tmp_path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {r.event_type: (r.n, [x.event_id for x in r.ring], r.e) for r in published(spark, folder, None).withColumn("e", streams.ring_estimate(F.col("ring"))).collect()}
+    for key, n in (("a", 600), (None, 300)):
+        last = sorted((k for t, k, _ in rows if t == key), reverse=True)[:10]
+        assert got[key] == (n, last, sum(last) / 10)
+    assert published(spark, folder, None, 0) is None and published(spark, folder, None, 1).agg(F.sum("n")).first()[0] == 450
