@@ -102,12 +102,16 @@ def resolve_path(path: Column) -> Column:
 
 
 def join_url(base: Column, link: Column) -> Column:
-    """A link seen from a base URL: absolute, host-relative, or relative to the base's folder."""
+    """A link seen from a base URL, without its fragment: absolute, of the same scheme, host-relative, relative to the
+    base's folder, a query alone, or the base itself."""
+    link = F.regexp_replace(link, "(?s)#.*$", "")
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(url_path(base), "[^/]*$", "")
-    bare = F.regexp_replace(link, "[?#].*$", "")
+    bare = F.regexp_replace(link, r"(?s)\?.*$", "")
+    query = F.regexp_extract(F.when(link == "", base).otherwise(link), r"^[^?#]*(\?[^#]*)", 1)
     path = F.when(bare.startswith("/"), bare).when(bare == "", url_path(base)).otherwise(F.concat(folder, bare))
-    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).otherwise(F.concat(root, resolve_path(path), F.regexp_extract(link, r"(\?[^#]*)", 1)))
+    told = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), link))
+    return told.otherwise(F.concat(root, resolve_path(path), query))
 
 
 #: Entities of HTML text and their characters (fixed values: markup's own, and those of Latin-1 punctuation in use).

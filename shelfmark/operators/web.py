@@ -48,6 +48,12 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(hrefs(F.col("html"))).alias("href"))
 
 
+def joined_links(pages: DataFrame) -> DataFrame:
+    """(page_id, href, target): every link as written, and its URL seen from the page."""
+    told = pages.select("page_id", "url", F.explode(hrefs(F.col("html"))).alias("href"))
+    return told.select("page_id", "href", sc.join_url(F.col("url"), sc.decode_entities(F.col("href"))).alias("target"))
+
+
 def external_hosts(linked: DataFrame, sites: DataFrame) -> DataFrame:
     """Host names that are linked to and are no site yet."""
     return linked.where("hostname != ''").select("hostname").distinct().join(sites.select("hostname"), "hostname", "left_anti")

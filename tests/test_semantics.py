@@ -320,3 +320,26 @@ def test_latency_state_keeps_the_latest_rows(spark, tmp_path):
         last = sorted((k for t, k, _ in rows if t == key), reverse=True)[:10]
         assert got[key] == (n, last, sum(last) / 10)
     assert published(spark, folder, None, 0) is None and published(spark, folder, None, 1).agg(F.sum("n")).first()[0] == 450
+
+
+def test_every_link_is_joined(spark):
+    """Against urllib, but for fragments, which lead into the same page."""
+    from html import unescape
+    from urllib.parse import urldefrag, urljoin
+
+    from shelfmark.plans import registry
+
+    links = ["/a", "/für", "/the,", "b", "b/", "../c", "../../../c", "./d?x=1&amp;y=2", "?q=1", "", "#f", "#f?g", "g#h?i", "/x/../y/.", "..", ".", "//other.org/p?q#r", "https://Other.org/a/../b#c", "mailto:a@b.c", "/p?u=/../v#w"]
+    bases = ["http://h.example/dir/sub/page.html?old=1#top", "https://h.example:8080/", "http://h.example"]
+    rows = [(k, b, "".join(f'<a href="{x}">t</a>' for x in links)) for k, b in enumerate(bases)]
+    got = web.joined_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = lambda b, x: urldefrag(urljoin(b, unescape(x)))[0]
+    rooted = lambda u: u + "/" if re.fullmatch(r"https?://[^/?]*", u) else u.replace("example?", "example/?")
+    assert len(got) == len(links) * len(bases)
+    assert {(r.page_id, r.href): r.target for r in got} == {(k, x): rooted(want(b, x)) for k, b in enumerate(bases) for x in links}
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    found = [(p.page_id, m) for p in pages.values() for m in re.findall(r'(?i)<(?:a|area|frame)\s[^>]*?(?:href|src)="([^"]*)"', p.html)]
+    told = registry.queries()["f11_all_links"](spark, SF).collect()
+    assert any(not re.fullmatch("/[A-Za-z]+", x) for _, x in found)
+    assert sorted((r.page_id, r.href, r.target) for r in told) == sorted((k, x, rooted(want(pages[k].url, x))) for k, x in found)
