@@ -76,26 +76,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_BASE, _STEP = 0x9E3779B97F4A7C15, 4096
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64, of exponents 0 to n at least."""
-    global _powers
-    if len(_powers[0]) <= n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        size = 1 << int(n + 1).bit_length()
-        _powers = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, b)]) for b in (_BASE, inverse))
-    return _powers
+def _power_rows(base: int) -> tuple[np.ndarray, int]:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(_STEP - 1, np.uint64(base))]), pow(base, _STEP, 1 << 64)
+
+
+_POWERS = tuple(_power_rows(b) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    """Powers 0 to n of an odd base, or of its inverse, modulo 2**64: products of two short rows, so nothing that is
+    kept grows with a text."""
+    row, step = _POWERS[inverse]
+    steps = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n // _STEP, np.uint64(step))])
+    return (steps[:, None] * row).ravel()[: n + 1]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range, the same in every task: differences of one running polynomial sum."""
-    power, inverse = _power_tables(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data))[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * _powers(len(data), inverse=True)[starts])
 
 
 def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
