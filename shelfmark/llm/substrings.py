@@ -6,14 +6,18 @@ into its windows, sorting brings equal windows together, and a window's first do
 them.  A window that starts in a document with a smaller doc_id is removed from the later ones.
 
 Three things keep buckets small: a mapper sends each distinct string once, with its smallest and largest doc_id; the
-number of buckets follows the size of the texts; and the windows of a bucket that is still too large go one by one to
-the buckets of their own hashes.  The verdict on a string concerns its first document (a bit for each window) and all
-other documents alike (every window), so it goes back by a join on the string's hash, which Spark can split where a
-string is very frequent.
-
-Rows: a null text has no words; a null doc_id is kept whole and is no earlier document; repeated doc_ids are told
-apart by their texts and are not earlier than one another; texts of any length are read whole; other columns are kept
-(but for the operator's own names); an empty table gives an empty table.
+number of buckets follows the size of the texts; and the windows of a bucket that is still too large are strings of
+their own, which Spark groups with a map-side combination of their smallest and largest doc_id, so that a window that
+stands nearly everywhere reaches its group once from each mapper.  Which buckets are too large is told to the mappers
+by a table of MARKS bits, whatever the number of buckets; a bucket that shares a large one's bit is treated like it,
+which changes no result.  The verdict on a string concerns its first document (a bit for each window) and all other
+documents alike (every window), so it goes back by a join on the string's hash, which Spark can split where a string
+is very frequent.
+
+Rows: a null text has no words; a null doc_id is kept whole and is no earlier document; rows of one doc_id are told
+apart by a 64-bit hash of their texts and are not earlier than one another; repeated rows (equal in doc_id and text)
+get equal results; texts of any length are read whole; other columns are kept (but for the operator's own names); an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from .textcols import joined_words, mix, slices, utf8, word_bounds, word_hashes
 WINDOW = 13
 MOST_WINDOWS = 62  # of a packed string: their bits fit in a long
 BUCKET_WINDOWS = 250_000
+MARKS = 1 << 16  # bits that tell mappers which buckets are too large
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -48,18 +53,18 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Strings:
-    """Super-k-mers of a run of documents: row, pos (first window's place in its document), n (windows), bucket, and
-    the word range of each."""
+    """Super-k-mers of a run of documents: row, pos (first window's place in its document), n (windows), bucket, alone
+    (a single window of a bucket marked in hot), and the word range of each."""
 
     def __init__(self, column: pa.Array, buckets: int, hot: np.ndarray):
         data, offsets = utf8(column)
         self.data = data
         self.starts, self.ends, self.first = word_bounds(data, offsets)
-        words = len(self.starts)
         per_row = np.maximum(np.diff(self.first) - (WINDOW - 1), 0)
         self.n_windows = int(per_row.sum())
         if not self.n_windows:
             self.row = self.pos = self.n = self.bucket = self.at = np.zeros(0, np.int64)
+            self.alone = np.zeros(0, bool)
             return
         row = np.repeat(np.arange(len(per_row)), per_row)
         heads = np.cumsum(per_row) - per_row
@@ -72,22 +77,20 @@ class _Strings:
         cut = np.empty(self.n_windows, bool)
         cut[0] = True
         cut[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-        if len(hot):
-            alone = np.isin(bucket, hot)
-            if alone.any():
-                whole = np.zeros(words - WINDOW + 1, np.uint64)
-                for k in range(WINDOW):
-                    whole = mix(whole * np.uint64(31) + h[k : k + len(whole)])
-                bucket[alone] = (whole[at[alone]] % np.uint64(buckets)).astype(np.int64)
-                cut |= alone
-                cut[1:] |= alone[:-1]
+        alone = hot[bucket & (len(hot) - 1)]
+        cut |= alone
+        cut[1:] |= alone[:-1]
         begin = np.flatnonzero(cut)
         run = np.arange(self.n_windows) - np.repeat(begin, np.diff(np.r_[begin, self.n_windows]))
         cut |= run % MOST_WINDOWS == 0
         begin = np.flatnonzero(cut)
-        self.row, self.pos, self.at, self.bucket = row[begin], pos[begin], at[begin], bucket[begin]
+        self.row, self.pos, self.at, self.bucket, self.alone = row[begin], pos[begin], at[begin], bucket[begin], alone[begin]
         self.n = np.diff(np.r_[begin, self.n_windows])
 
+    def keep(self, those: np.ndarray) -> None:
+        """Only those strings from now on."""
+        self.row, self.pos, self.at, self.bucket, self.n = (x[those] for x in (self.row, self.pos, self.at, self.bucket, self.n))
+
     def packed(self) -> list[bytes]:
         """Each super-k-mer's words, joined by one space."""
         joined, begins = joined_words(self.data, self.starts, self.ends)
@@ -101,7 +104,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 def _loads(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
+        none = np.zeros(1, bool)
         for batch in slices(batches, "_sk_text", 4 << 20):
             s = _Strings(batch.column("_sk_text"), buckets, none)
             where, back = np.unique(s.bucket, return_inverse=True)
@@ -117,6 +120,7 @@ def _send(buckets: int, hot: np.ndarray):
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "_sk_text", 4 << 20):
             s = _Strings(batch.column("_sk_text"), buckets, hot)
+            s.keep(~s.alone)
             if not len(s.n):
                 continue
             coded = pa.array(s.packed(), pa.large_binary()).dictionary_encode()
@@ -139,6 +143,34 @@ def _send(buckets: int, hot: np.ndarray):
     return run
 
 
+def _windows(buckets: int, hot: np.ndarray):
+    """(bucket, window, low, high): a slice's distinct windows of the buckets that are too large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_sk_text", 4 << 20):
+            s = _Strings(batch.column("_sk_text"), buckets, hot)
+            s.keep(s.alone)
+            if not len(s.n):
+                continue
+            coded = pa.array(s.packed(), pa.large_binary()).dictionary_encode()
+            code, doc, n = coded.indices.to_numpy(), _ids(batch)[s.row], len(coded.dictionary)
+            low, high, bucket = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min), np.empty(n, np.int64)
+            np.minimum.at(low, code, doc)
+            np.maximum.at(high, code, doc)
+            bucket[code] = s.bucket
+            cols = [pa.array(bucket), coded.dictionary.cast(pa.binary()), pa.array(low), pa.array(high)]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "window", "low", "high"])
+
+    return run
+
+
+def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The verdict on windows that later documents hold too: their first document keeps them."""
+    for batch in batches:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, batch.column("window").to_pylist()), np.uint64, batch.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(h), batch.column("low"), pa.array(np.zeros(len(h), np.int64))], ["bucket", "h", "first", "mask"])
+
+
 def _unpack(blobs: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     low, high, lengths, bodies = [], [], [], []
     for blob in blobs:
@@ -223,43 +255,56 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(buckets: int, hot: np.ndarray):
-    """(bucket, h, doc, at): where each string stands; at packs pos, 16 bits of the text's hash, and n."""
+    """(bucket, h, doc, rid, at): where each string stands; rid is the text's hash, and at packs pos and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_sk_text", 4 << 20):
             s = _Strings(batch.column("_sk_text"), buckets, hot)
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, s.packed()) if len(s.n) else (), np.uint64, len(s.n)).view(np.int64)
-            rid = batch.column("_sk_rid").to_numpy()[s.row] if len(s.n) else s.n
-            cols = (s.bucket, h, _ids(batch)[s.row], s.pos << 22 | rid << 6 | s.n)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bucket", "h", "doc", "at"])
+            cols = (s.bucket, h, _ids(batch)[s.row], batch.column("_sk_rid").to_numpy()[s.row], s.pos << 6 | s.n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bucket", "h", "doc", "rid", "at"])
 
     return run
 
 
 def _text_hash(text_col: str):
-    """16 bits that tell rows of one doc_id apart."""
-    return F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1 << 16)).alias("_sk_rid")
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.col(text_col).cast("string")).alias("_sk_rid")
+
+
+def _hot_marks(heavy: DataFrame, buckets: int) -> np.ndarray:
+    """Which buckets are too large, by the lowest bits of their numbers: MARKS bits at most."""
+    marks = np.zeros(min(MARKS, buckets), bool)
+    found = heavy.select(F.col("bucket").bitwiseAND(len(marks) - 1).alias("mark")).distinct().collect()
+    marks[[r.mark for r in found]] = True
+    return marks
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """(_sk_doc, _sk_rid, hits): for each document with windows to remove, (pos, mask) of runs of windows."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_sk_doc"), _text_hash(text_col), F.col(text_col).cast("string").alias("_sk_text"))
     size = rows.agg(F.sum(F.octet_length("_sk_text"))).first()[0] or 0
-    # about one word in six bytes; at most one bucket in size / (24 * bucket_windows) can be hot
+    # about one word in six bytes
     buckets = max(16, 1 << int(size / 6 / bucket_windows).bit_length())
     bounded_batches(rows)
-    texts = rows.select("_sk_text")
-    heavy = texts.mapInArrow(_loads(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * bucket_windows)
-    hot = np.array([r.bucket for r in heavy.select("bucket").collect()], np.int64)
-    sent = rows.select("_sk_doc", "_sk_text").mapInArrow(_send(buckets, hot), "bucket long, packed binary")
-    judged = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge, "bucket long, h long, first long, mask long")
+    loads = rows.select("_sk_text").mapInArrow(_loads(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    hot = _hot_marks(loads.where(F.col("n") > 4 * bucket_windows), buckets)
+    told = rows.select("_sk_doc", "_sk_text")
+    sent = told.mapInArrow(_send(buckets, hot), "bucket long, packed binary")
+    verdict = "bucket long, h long, first long, mask long"
+    judged = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge, verdict)
+    if hot.any():
+        single = told.mapInArrow(_windows(buckets, hot), "bucket long, window binary, low long, high long")
+        single = single.groupBy("bucket", "window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("high > low")
+        judged = judged.unionByName(single.mapInArrow(_window_hashes, verdict))
     judged = materialize(judged, "verdicts")  # the packed strings are done with
-    placed = rows.mapInArrow(_occurrences(buckets, hot), "bucket long, h long, doc long, at long")
+    placed = rows.mapInArrow(_occurrences(buckets, hot), "bucket long, h long, doc long, rid long, at long")
     every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int")) - 1
     found = placed.join(judged, ["bucket", "h"]).select(
-        "doc", F.shiftright("at", 6).bitwiseAND(65535).alias("rid"), F.shiftright("at", 22).cast("int").alias("pos"), F.when(F.col("doc") == F.col("first"), F.col("mask")).otherwise(every).alias("mask")
+        "doc", "rid", F.shiftright("at", 6).cast("int").alias("pos"), F.when(F.col("doc") == F.col("first"), F.col("mask")).otherwise(every).alias("mask")
     )
-    return found.where("mask != 0").groupBy(F.col("doc").alias("_sk_doc"), F.col("rid").alias("_sk_rid")).agg(F.collect_list(F.struct("pos", "mask")).alias("_sk_hits"))
+    # a repeated row finds the same hits again: a set, as they would be joined back to each of its copies
+    return found.where("mask != 0").groupBy(F.col("doc").alias("_sk_doc"), F.col("rid").alias("_sk_rid")).agg(F.collect_set(F.struct("pos", "mask")).alias("_sk_hits"))
 
 
 def _removed(hits: pa.Array, first: np.ndarray, words: int) -> np.ndarray:
