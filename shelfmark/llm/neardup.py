@@ -10,14 +10,17 @@ Classes: equal texts are one node.  Nodes that agree in all rows of a band meet
 that agree in too few coordinates to reach the threshold (by more than five standard deviations) are told apart, and
 what still hangs together over all buckets is a cluster.  Each cluster's texts are then compared exactly, by the
 number of shingles that they share, and the classes are the connected components of the links.  Buckets and clusters
-too large for a task are compared block by block, all blocks with all, so no link is dropped.
+too large for a task, in rows or in bytes of text, are compared block by block, all blocks with all, so no link is
+dropped.  Texts are equal when their SHA-256 digests are.
 
-A link is a Jaccard similarity of at least 0.8 between sets of five-word shingles (``weights="counts"``: of multisets).
-A text of one to four words is one shingle.
+A link is a weighted Jaccard similarity of at least 0.8 between five-word shingles, each weighted by how often it
+stands in its text (``weights="ones"``: between sets of shingles).  A text of one to four words is one shingle.
 
 Rows: texts that are null or have no word are in no class but their own (class_id is their doc_id); rows of equal text
-share a class, repeated rows too; a null doc_id never names a class unless all of its rows have none (then class_id is
-null); words are compared as they are; texts are read whole; an empty table gives an empty table.
+share a class, repeated rows too, and only one of them takes part in comparisons; a null doc_id never names a class
+unless all of its rows have none (then class_id is null); words are compared as they are; texts of any length are read
+whole, and one longer than a block is a block of its own; other columns than id and text are not read and can't clash;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import bounded_batches, materialize, table
+from .shared import bounded_batches, discard, materialize, table
 from .textcols import binary_array, mix, slices, utf8, word_bounds, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 32, 5
@@ -50,6 +53,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, rows: np.n
         layer = np.arange(len(of)) - np.repeat(np.cumsum(layers) - layers, layers)
         elements, rows = mix(elements[of] + layer.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), rows[of]
         part = np.minimum(weights[of] - layer, 1.0)
+        weights = None if (part == 1).all() else weights
     open_rows, first, last = np.bincount(rows, minlength=n) > 0, 0, 1
     while len(elements) and last < 1 << 16:
         # enough sets at a time that the darts stay few
@@ -105,7 +109,7 @@ def _counted(elements: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return e[head], r[head], np.diff(np.r_[head, len(e)])
 
 
-def signatures(df: DataFrame, weights: str = "ones") -> DataFrame:
+def signatures(df: DataFrame, weights: str = "counts") -> DataFrame:
     """df (id, key, text) to (id, key, sig): sig is null for texts without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,13 +142,12 @@ def _spread(n: int, near) -> list[tuple[int, int]]:
     return edges
 
 
-def _blocked(df: DataFrame, group: str, size: str, block: int, by: str) -> DataFrame:
-    """df's rows with part: a group of more than block members is dealt to blocks, and each row goes to every pair of
-    blocks that holds its own; so every two members meet."""
-    blocks = F.ceil(F.col(size) / block)
+def _blocked(df: DataFrame, blocks: Column, by: str) -> DataFrame:
+    """df's rows with part: a group of several blocks is dealt to them, and each row goes to every pair of blocks that
+    holds its own; so every two members meet."""
     own = F.pmod(F.xxhash64(by), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
-    return df.withColumn("part", F.explode(F.when(F.col(size) <= block, F.array(F.lit(0).cast("long"))).otherwise(pairs)))
+    return df.withColumn("part", F.explode(F.when(blocks <= 1, F.array(F.lit(0).cast("long"))).otherwise(pairs)))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -210,8 +213,8 @@ def _links(similarity: float, weights: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, ["cluster", "part"]):
-            nodes, at = np.unique(group.column("node").to_numpy(), return_index=True)  # rows repeat where documents do
-            codes, rows = shingle_codes(group.column("text").combine_chunks().take(pa.array(at)))
+            nodes = group.column("node").to_numpy()
+            codes, rows = shingle_codes(group.column("text").cast(pa.large_string()).combine_chunks())
             codes, rows, counts = _counted(codes, rows)
             height = counts if weights == "counts" else np.ones(len(codes), np.int64)
             total = np.bincount(rows, height, len(nodes))
@@ -233,10 +236,16 @@ def _links(similarity: float, weights: str):
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, weights: str = "ones", bucket_block: int = 4096, cluster_block: int = 2048) -> DataFrame:
-    """(id, text_key, class_id, class_texts): of every row, the least id of its class, and how many texts the class has."""
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, weights: str = "counts", bucket_block: int = 4096, cluster_block: int = 2048, block_bytes: int = 32 << 20) -> DataFrame:
+    """(id, text_key, class_id, class_texts): of every row, the least id of its class, and how many texts the class has.
+
+    A bucket's block has about bucket_block signatures; a cluster's about cluster_block texts, of block_bytes at most."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _text_key(text).alias("key"), text.alias("text"))
     told = materialize(signatures(rows, weights), "signatures")
     nodes = told.where(F.col("sig").isNotNull()).groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -245,21 +254,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     members = F.xxhash64("node")
     full = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.shiftright(members, 24)).alias("s1"), F.sum(members.bitwiseAND((1 << 38) - 1)).alias("s2")).where("n > 1")
     full = full.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    met = materialize(bands.join(full, "bucket"), "met").join(nodes.select("node", "sig"), "node")
+    met = materialize(bands.join(full, "bucket"), "met")
     least = int(COORDINATES * similarity - 5.1 * (COORDINATES * similarity * (1 - similarity)) ** 0.5)
-    parted = _blocked(met, "bucket", "n", bucket_block, "node").select("bucket", "part", "node", "sig")
+    parted = _blocked(met.join(nodes.select("node", "sig"), "node"), F.ceil(F.col("n") / bucket_block), "node").select("bucket", "part", "node", "sig")
     edges = parted.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_alike(least), "a long, b long")
     clusters = components(edges)
-    sized = materialize(clusters.join(clusters.groupBy("root").agg(F.count("*").alias("n")), "root"), "clusters")
-    told_of = sized.join(nodes.select("node", "key", "id"), "node").select(F.col("root").alias("cluster"), "n", "node", "key", "id")
-    # a null id equals itself here; one row would do where a document is repeated
+    discard(met)
+    told_of = materialize(clusters.join(nodes.select("node", "key", "id"), "node"), "clusters")
+    discard(clusters)
+    # of rows with equal id and text one is enough; a null id equals itself here
     texts = rows.where(F.col("text").isNotNull()).withColumnRenamed("id", "_id").withColumnRenamed("key", "_key")
-    with_text = told_of.join(texts, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).select("cluster", "n", "node", "text")
-    parted = _blocked(with_text, "cluster", "n", cluster_block, "node").select("cluster", "part", "node", "text")
+    with_text = told_of.join(texts, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).groupBy("root", "node").agg(F.first("text").alias("text"))
+    with_text = materialize(with_text, "cluster-texts")
+    sizes = with_text.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / cluster_block), F.ceil(F.col("bytes") / block_bytes))
+    parted = _blocked(with_text.join(sizes, "root"), blocks, "node").select(F.col("root").alias("cluster"), "part", "node", "text")
     links = parted.repartition("cluster", "part").sortWithinPartitions("cluster", "part").mapInArrow(_links(similarity, weights), "a long, b long")
     found = components(links)
+    discard(told_of, with_text)
     named = nodes.select("node", "key", "id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "named")
+    discard(found, nodes)
     heads = named.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_texts"))
     by_key = named.join(heads, "root").select("key", "class_id", "class_texts")
     # rows without a word have no node
@@ -271,8 +286,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs without the documents whose class has one of a smaller id.  Rows of a class without any id all stay."""
     gone = classes(docs, id_col, text_col, **how).where(F.col(id_col).isNull() & F.col("class_id").isNotNull() | (F.col(id_col) != F.col("class_id")))
     gone = gone.select(F.col(id_col).alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    key = F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & key.eqNullSafe(F.col("_gone_key")), "left_anti")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & _text_key(F.col(text_col).cast("string")).eqNullSafe(F.col("_gone_key")), "left_anti")
 
 
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,9 +298,9 @@ ORACLES = {
     "op4_dart_minhash": f"""
 WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 t AS (SELECT text, min(doc_id) AS node, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY text),
-s AS (SELECT DISTINCT node, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS k FROM (SELECT node, w, unnest(generate_series(1, greatest(len(w) - {SHINGLE - 1}, 1))) AS i FROM t)),
-c AS (SELECT node, count(*) AS n FROM s GROUP BY node),
-p AS (SELECT x.node AS a, y.node AS b, count(*) AS m FROM s x JOIN s y ON x.k = y.k AND x.node <> y.node GROUP BY ALL),
+s AS (SELECT node, k, count(*) AS x FROM (SELECT node, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS k FROM (SELECT node, w, unnest(generate_series(1, greatest(len(w) - {SHINGLE - 1}, 1))) AS i FROM t)) GROUP BY node, k),
+c AS (SELECT node, sum(x) AS n FROM s GROUP BY node),
+p AS (SELECT x.node AS a, y.node AS b, sum(least(x.x, y.x)) AS m FROM s x JOIN s y ON x.k = y.k AND x.node <> y.node GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN c ca ON ca.node = a JOIN c cb ON cb.node = b WHERE 10 * m >= 8 * (ca.n + cb.n - m)),
 r AS (SELECT node, node AS root FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
 f AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),

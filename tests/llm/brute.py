@@ -30,13 +30,13 @@ def substrings(docs, window=13):
     return out
 
 
-def shingles(text, counts=False):
+def shingles(text, counts=True):
     w = words(text)
     c = Counter([tuple(w)] if len(w) < 5 else (tuple(w[i : i + 5]) for i in range(len(w) - 4))) if w else Counter()
     return c if counts else Counter(dict.fromkeys(c, 1))
 
 
-def classes(docs, similarity=0.8, counts=False):
+def classes(docs, similarity=0.8, counts=True):
     """[(doc_id, class_id)] of [(doc_id, text)]."""
     parent, sets, holders = list(range(len(docs))), [shingles(t, counts) for _, t in docs], defaultdict(list)
 
