@@ -2,8 +2,11 @@
 
 Texts are cut only where they are longer than a sequence; pieces that fill a sequence are sequences of their own.  The
 rest are dealt to partitions of about ``leaf_rows`` items, each packed by best fit, longest first.  Nearly full bins
-are done; underfull bins go on as items to a round with as few partitions as their number needs, and so on up the
-tree until one partition is left, or until rounds over many partitions no longer join bins.
+are done, and so is every bin with which not even the least open bin would fit: no later round could join it.  The
+other underfull bins go on as items to a round with as few partitions as their number needs, and so on up the tree
+until one partition is left.  From the second round on, bins are dealt by the space that they lack or fill, so that a
+small bin meets the large ones that it fits.  A round over several partitions that joins no bin ends the tree, or one
+that joins less than ``least_gain`` of them where the caller asks for that.
 
 Rows: a null text packs as the empty text (its end token alone); repeated rows are packed each; equal lengths are
 taken in the order of (doc_id, piece, start); a text of any length is read whole; further columns are ignored; an
@@ -80,13 +83,17 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def pack(items: DataFrame, capacity: int = 2048, nearly: float = 0.98, leaf_rows: int = 50_000) -> DataFrame:
-    """items (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+def pack(items: DataFrame, capacity: int = 2048, nearly: float = 0.98, leaf_rows: int = 50_000, least_gain: float = 0.0) -> DataFrame:
+    """items (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+
+    least_gain: a round over several partitions that joins no more than this share of the open bins is the last one; 0,
+    the default, goes on for as long as any bin is joined."""
     items = materialize(items, "pieces")
-    schema = PIECE + ", sequence_id long, offset long, done boolean"
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "done"]
+    schema = PIECE + ", sequence_id long, offset long, fill long, done boolean"
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "done"]
+    placed = names[:7]
     full = items.where(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    open_items = items.where(F.col("length") < capacity).withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long")})
+    open_items = items.where(F.col("length") < capacity).withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long"), "fill": F.col("length")})
     finished = [full]
     level, count = 1, open_items.count()
 
@@ -108,26 +115,33 @@ def pack(items: DataFrame, capacity: int = 2048, nearly: float = 0.98, leaf_rows
             sequence = (np.int64(level) << 54) + (np.int64(TaskContext.get().partitionId()) << 30) + bins
             done = np.full(len(fill), True) if last else fill >= nearly * capacity
             moved = rows.column("offset").to_numpy() + offsets[item]
-            cols = [*(rows.column(c) for c in names[:5]), pa.array(sequence[item]), pa.array(moved), pa.array(done[bins][item])]
+            cols = [*(rows.column(c) for c in names[:5]), pa.array(sequence[item]), pa.array(moved), pa.array(fill[bins][item].astype(np.int64)), pa.array(done[bins][item])]
             yield from pa.table(cols, names).to_batches(max_chunksize=50_000)
 
         return run
 
     while count:
         parts = -(-count // leaf_rows)
-        keys = ["sequence_id"] if level > 1 else ["doc_id", "piece", "start", "ids_crc32"]
-        dealt = open_items.select(*names[:7]).repartition(parts, *keys)
-        after = materialize(dealt.mapInArrow(round_of(level, parts == 1), schema), f"pack-{level}")
-        finished.append(after.where("done").drop("done"))
-        open_items = after.where("not done").drop("done")
-        left = open_items.select("sequence_id").distinct().count() if parts > 1 else 0
-        if left > 0.99 * count and level > 3:  # many bins, and none that join any more
-            finished.append(open_items)
-            left = 0
-        level, count = level + 1, left
-    out = finished[0].select(*names[:7])
+        open_items = open_items.select(*placed, "fill")
+        if level == 1:
+            dealt = open_items.withColumn("_row", F.monotonically_increasing_id()).repartition(parts, "_row")  # repeated rows part, too
+        else:
+            lacked = F.least("fill", F.lit(capacity) - F.col("fill"))
+            dealt = open_items.repartitionByRange(parts, lacked, F.xxhash64("sequence_id")) if parts > 1 else open_items.repartition(1)
+        after = materialize(dealt.select(*placed).mapInArrow(round_of(level, parts == 1), schema), f"pack-{level}")
+        if parts == 1:
+            finished.append(after)
+            break
+        least = after.where("not done").agg(F.min("fill")).first()[0] or 0
+        ends = F.col("done") | (F.col("fill") + least > capacity)
+        bins = after.groupBy("sequence_id").agg(F.first("fill").alias("fill"), F.first("done").alias("done")).agg(F.count("*").alias("n"), F.count_if(~ends).alias("left")).first()
+        stop = level > 1 and count - bins.n <= least_gain * count
+        finished.append(after if stop else after.where(ends))
+        open_items = after.where(~ends)
+        level, count = level + 1, 0 if stop else bins.left
+    out = finished[0].select(*placed)
     for df in finished[1:]:
-        out = out.unionByName(df.select(*names[:7]))
+        out = out.unionByName(df.select(*placed))
     return out
 
 
