@@ -3,7 +3,8 @@
 A text is cut into pretokens by the vocabulary's pattern, with array operations over its bytes.  Each distinct pretoken
 is first cut greedily, always taking the longest token (an Aho-Corasick automaton over all of them at once).  A cut is
 the BPE result exactly when every adjacent pair of tokens would stay apart if its two tokens were encoded alone; that
-test runs on all pairs together.  Only pretokens with a failing pair are merged exactly, again all together.
+test runs on all pairs together.  Only pretokens with a failing pair are merged exactly: short ones all together, long
+ones (over LONG bytes) each with a heap of its pairs, in time of the order of n log n.
 
 Rows: a null text encodes as the empty text (no ids, digest of the empty string); repeated rows repeat; the special
 token's string inside a text is that token; texts of any length are read whole, further columns are ignored, and an
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -149,6 +151,7 @@ class Bpe:
     """Encoder and decoder of one vocabulary file (tokenizers JSON of byte-level BPE, in which ids follow merge ranks)."""
 
     CACHED = 150_000  # pretokens a worker remembers
+    LONG = 256  # bytes of a pretoken that is merged by a heap, and never remembered
 
     def __init__(self, path: str, classes: bytes):
         self.classes = _classes(classes)
@@ -246,6 +249,49 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return ids[order].astype(np.int32), np.searchsorted(word[order], np.arange(len(words)), side="right")
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """BPE of one long word: the lowest-ranked pair first, of equal ranks the leftmost, over linked places."""
+        ids = self.byte_id[np.frombuffer(word, np.uint8)]
+        n = len(ids)
+        first = self.pair(ids[:-1], ids[1:])
+        told = np.flatnonzero(first >= 0)
+        heap = list(zip(first[told].tolist(), told.tolist()))
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+        one, two = np.zeros(1, np.int32), np.zeros(1, np.int32)
+
+        def rank(a: int, b: int) -> int:
+            found = known.get((a, b))
+            if found is None:
+                one[0], two[0] = a, b
+                found = known[a, b] = int(self.pair(one, two)[0])
+            return found
+
+        ids, after, before, alive = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n
+        while heap:
+            merged, at = heapq.heappop(heap)
+            end = after[at] if alive[at] else n
+            if end == n or rank(ids[at], ids[end]) != merged:
+                continue  # one of the two has changed since
+            ids[at], alive[end], after[at] = merged, 0, after[end]
+            if after[end] < n:
+                before[after[end]] = at
+                if (new := rank(merged, ids[after[end]])) >= 0:
+                    heapq.heappush(heap, (new, at))
+            if before[at] >= 0 and (new := rank(ids[before[at]], merged)) >= 0:
+                heapq.heappush(heap, (new, before[at]))
+        return np.array(ids, np.int32)[np.frombuffer(alive, np.uint8) > 0]
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): BPE of all words, by the way that fits their lengths."""
+        long = [k for k, w in enumerate(words) if len(w) > self.LONG]
+        if not long:
+            return self._merge_exactly(words)
+        ids, ends = self._merge_exactly([w for w in words if len(w) <= self.LONG])
+        short = iter(np.split(ids, ends[:-1]) if len(ends) else ())
+        parts = [self._merge_long(w) if len(w) > self.LONG else next(short) for w in words]
+        return np.concatenate(parts).astype(np.int32), np.cumsum([len(x) for x in parts])
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all pretokens, one after another, and where each one's end."""
         if not words:
@@ -269,7 +315,7 @@ class Bpe:
         failing = np.flatnonzero(~good)
         if not len(failing):
             return ids.astype(np.int32), np.cumsum(counts)
-        exact, exact_ends = self._merge_exactly([words[k] for k in failing.tolist()])
+        exact, exact_ends = self._merged([words[k] for k in failing.tolist()])
         counts[failing] = np.diff(exact_ends, prepend=0)
         out_ends = np.cumsum(counts)
         out = np.empty(out_ends[-1], np.int32)
@@ -330,8 +376,11 @@ class Bpe:
                 new = words
             ids, ends = self.encode_words(new)
             whole, ends = ids.astype(np.int32).tobytes(), (4 * ends).tolist()
-            cache.update((w, whole[a:b]) for w, a, b in zip(new, [0, *ends[:-1]], ends))
-        parts = [cache[w] for w in words]
+            told = {w: whole[a:b] for w, a, b in zip(new, [0, *ends[:-1]], ends)}
+            cache.update((w, x) for w, x in told.items() if len(w) <= self.LONG)
+            parts = [cache[w] if len(w) <= self.LONG else told[w] for w in words]
+        else:
+            parts = [cache[w] for w in words]
         counts = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         return np.frombuffer(b"".join(parts), np.int32), np.cumsum(counts) - counts, counts
 
