@@ -1,22 +1,27 @@
 """WARC archives: writing, normalising whole-file gzip to one member a record, and reading by offset.
 
 ``write_archives`` puts pages into archives that are one gzip stream each, as many tools wrongly make them.
-``normalize`` inflates each such stream once, rewrites every record as a gzip member of its own and gives the sidecar
-index: archive, offset and length of each member.  ``read_records`` opens members by that index alone.  Archives are
-rows (name, content) of bounded size in a Parquet table, so that any store Spark reaches can hold them and a task that
-runs again leaves nothing half written; ``export_files`` writes them out as .warc.gz files with .idx sidecars.
+``normalize`` inflates each such stream once, rewrites every record as a gzip member of its own and gives the index:
+offset and length of each member.  ``publish`` writes the result as .warc.gz files with .idx sidecars (a line of offset
+and length for each record), and ``read_files`` opens records by the sidecar alone, each by one read of its range.
 
-Of pages with equal payloads of at least 1000 bytes, that with the largest page_id is the response and the others
-revisit it.
+A file is written under a name of its own and then renamed, so a killed task leaves no half file; names hold the task
+attempt, and only the names in publish's result count, which Spark commits: a task that runs again adds files that
+nobody reads.  Archives have bounded size, and no record is cut: one longer than that is an archive of its own.
+
+Of pages with equal payloads (equal in SHA-256) of at least 1000 bytes, that with the largest page_id is the response
+and the others revisit it.
 
 Rows: a null html has the empty payload; a null or empty url gives a record without target; null page_ids are
 responses (or revisit a numbered one); of repeated page_ids with the same payload each row gets a record, and all rows
-with the largest id are responses; further columns are ignored; an empty table gives no archive and an empty table.
+with the largest id are responses; payloads of any length are kept whole; further columns are ignored; an empty table
+gives no archive and an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize, table
+from .shared import bounded_batches, discard, materialize, new_folder, table
 
 LEAST_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -35,12 +40,13 @@ END = b"\r\n\r\n"
 
 def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """(page_id, url, html, digest, refers_to): refers_to is null for responses.  Only payloads that occur twice are
-    joined, on their digest; Spark splits a digest with very many pages."""
+    joined, on their SHA-256; Spark splits one with very many pages."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    twice = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
-    return rows.join(twice, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))).drop("keeper")
+    body = F.encode("html", "utf-8")
+    rows = rows.withColumns({"digest": F.sha1(body), "_same": F.unhex(F.sha2(body, 256))})
+    twice = rows.where(F.octet_length("html") >= least).groupBy("_same").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
+    return rows.join(twice, "_same", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))).drop("keeper", "_same")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -121,64 +127,83 @@ def normalize(archives: DataFrame, level: int = 6) -> DataFrame:
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(members)], pa.binary()), pa.array([offsets[: len(lengths)]], longs), pa.array([lengths], longs)], ["archive", "content", "offsets", "lengths"])
 
-    spark = archives.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # whole archives
     return archives.mapInArrow(run, "archive string, content binary, offsets array<long>, lengths array<long>")
 
 
-def read_records(normalized: DataFrame) -> DataFrame:
-    """(archive, offset, length, page_id, payload_bytes, payload_digest, record_type, refers_to): each record, opened
-    by the index; a response's payload is digested again and must match its header."""
-    names = ["archive", "offset", "length", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    schema = "archive string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+def _put(store, path: str, data: bytes) -> None:
+    """The whole file or none."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part, compression=None) as out:
+        out.write(data)
+    store.move(part, path)
+
 
-    def number(header: str | None) -> int | None:
-        digits = header[len(ID_PREFIX) + 1 : -1] if header else ""
-        return int(digits) if digits else None
+def publish(normalized: DataFrame, uri: str) -> DataFrame:
+    """(archive, bytes, records): archives and sidecars written below a URI that pyarrow's file systems reach from
+    every executor.  Materialize the result: its names are the files that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        store.create_dir(base, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             for name, content, offsets, lengths in zip(*(batch.column(c).to_pylist() for c in ("archive", "content", "offsets", "lengths"))):
-                rows = []
-                for at, n in zip(offsets, lengths):
-                    headers, block, _ = parse_record(zlib.decompress(content[at : at + n], wbits=31))
-                    http, _, payload = block.partition(END)
-                    size = int(http.rpartition(b"Content-Length: ")[2])
-                    digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-                    if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                        raise ValueError(f"{name} at {at}: the payload does not match its headers")
-                    rows.append((name, at, n, number(headers["warc-record-id"]), size, digest, kind, number(headers.get("warc-refers-to"))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                name = f"{name.removesuffix('.warc.gz')}-{attempt}.warc.gz"
+                _put(store, f"{base}/{name}", content)
+                _put(store, f"{base}/{name}.idx", "".join(f"{a} {n}\n" for a, n in zip(offsets, lengths)).encode())
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64()), pa.array([len(offsets)], pa.int64())], ["archive", "bytes", "records"])
+
+    return normalized.mapInArrow(run, "archive string, bytes long, records long")
 
-    normalized.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return normalized.mapInArrow(run, schema)
 
+_FIELDS = {"archive": pa.string(), "offset": pa.int64(), "length": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
 
-def export_files(normalized: DataFrame, uri: str) -> DataFrame:
-    """(archive, bytes): write archives and their .idx sidecars (offset, length a line) below a URI that pyarrow's
-    file systems reach from every executor.  A task that runs again overwrites its files with the same bytes."""
+
+def _number(header: str | None) -> int | None:
+    digits = header[len(ID_PREFIX) + 1 : -1] if header else ""
+    return int(digits) if digits else None
+
+
+def _told(member: bytes, where: str) -> tuple:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of one gzip member."""
+    headers, block, _ = parse_record(zlib.decompress(member, wbits=31))
+    http, _, payload = block.partition(END)
+    size = int(http.rpartition(b"Content-Length: ")[2])
+    digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
+    if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+        raise ValueError(f"{where}: the payload does not match its headers")
+    return _number(headers["warc-record-id"]), size, digest, kind, _number(headers.get("warc-refers-to"))
+
+
+def read_files(published: DataFrame, uri: str) -> DataFrame:
+    """(archive, offset, length, page_id, payload_bytes, payload_digest, record_type, refers_to): each record of the
+    published archives, found by the sidecar; a response's payload is digested again and must match its header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(uri)
-        store.create_dir(base, recursive=True)
         for batch in batches:
-            for name, content, offsets, lengths in zip(*(batch.column(c).to_pylist() for c in ("archive", "content", "offsets", "lengths"))):
-                for path, data in ((name, content), (name + ".idx", "".join(f"{a} {n}\n" for a, n in zip(offsets, lengths)).encode())):
-                    with store.open_output_stream(f"{base}/{path}", compression=None) as out:
-                        out.write(data)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64())], ["archive", "bytes"])
+            for name in batch.column("archive").to_pylist():
+                with store.open_input_stream(f"{base}/{name}.idx", compression=None) as f:
+                    index = [tuple(map(int, line.split())) for line in f.read().decode().splitlines()]
+                with store.open_input_file(f"{base}/{name}") as f:
+                    rows = [(name, at, n, *_told(f.read_at(n, at), f"{name} at {at}")) for at, n in index]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIELDS.values())], list(_FIELDS))
 
-    return normalized.mapInArrow(run, "archive string, bytes long")
+    kinds = {pa.string(): "string", pa.int64(): "long"}
+    return published.select("archive").mapInArrow(run, ", ".join(f"{k} {kinds[t]}" for k, t in _FIELDS.items()))
 
 
 def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the digest join compares like with like: utf-8 bytes of the whole payload
+    uri = new_folder(spark, "warc-files")
     archives = materialize(write_archives(decide(table(spark, sf_dir, "pages"))), "warc")
-    normalized = materialize(normalize(archives), "warc-members")
-    return read_records(normalized).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    published = materialize(publish(normalize(archives), uri), "warc-names", batch_rows=4)  # whole archives
+    discard(archives)
+    spread = published.repartition(max(1, -(-published.count() // 8)), "archive")
+    return read_files(spread, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op7_warc_normaliser": op7_warc_normaliser}

@@ -6,10 +6,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfmark.llm import pii, warc
+from shelfmark.llm.shared import materialize
 
 from . import brute
 from .test_texts import sample, same
@@ -21,17 +23,29 @@ def pages(n=60):
     return [(i, r.choice([*bodies, f"own {i} " * r.randint(1, 300), None])) for i in range(n)]
 
 
-def test_warc(spark):
+def read_back(spark, df, folder, **how):
+    """(records, archives): pages written, normalised, published below a folder and read by the sidecars."""
+    uri = f"file://{folder}"
+    names = materialize(warc.publish(warc.normalize(warc.write_archives(warc.decide(df), **how)), uri), "names")
+    return warc.read_files(names, uri).collect(), names.collect()
+
+
+def test_warc(spark, tmp_path):
     rows = pages()
     df = spark.createDataFrame([(k, f"http://h/{k} \n", h, 1) for k, h in rows], "page_id long, url string, html string, digest int")
     for most in (8 << 20, 3000):
-        normal = warc.normalize(warc.write_archives(warc.decide(df), most_bytes=most)).cache()
-        got = warc.read_records(normal).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
-        same(got, brute.revisits(rows))
-        for a in normal.collect():  # the members joined are a WARC file too
-            body = gzip.decompress(a.content)
-            assert body.count(b"WARC/1.0\r\nWARC-Type") == len(a.offsets)
-            assert all(gzip.decompress(a.content[o : o + n]).startswith(b"WARC/1.0\r\n") for o, n in zip(a.offsets, a.lengths))
+        folder = tmp_path / str(most)
+        got, names = read_back(spark, df, folder, most_bytes=most)
+        same([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], brute.revisits(rows))
+        assert sorted(p.name for p in folder.iterdir()) == sorted(x for n in names for x in (n.archive, n.archive + ".idx"))  # no half files
+        for n in names:  # a file is a WARC file as a whole, and each line of its sidecar is a record
+            content = (folder / n.archive).read_bytes()
+            index = [tuple(map(int, line.split())) for line in (folder / (n.archive + ".idx")).read_text().splitlines()]
+            assert gzip.decompress(content).count(b"WARC/1.0\r\nWARC-Type") == len(index) == n.records and len(content) == n.bytes
+            assert [a for a, _ in index] == [0, *[a + k for a, k in index[:-1]]] and sum(index[-1]) == len(content)
+            assert all(zlib.decompress(content[a : a + k], wbits=31).startswith(b"WARC/1.0\r\n") for a, k in index)
+        at = {(n.archive, *map(int, line.split())) for n in names for line in (folder / (n.archive + ".idx")).read_text().splitlines()}
+        assert {(r.archive, r.offset, r.length) for r in got} == at and len(got) == len(at)
 
 
 def test_warc_accepts_several_streams(spark):
@@ -41,23 +55,25 @@ def test_warc_accepts_several_streams(spark):
     assert len(got.offsets) == 3 and gzip.decompress(got.content) == b"".join(one)
 
 
-def test_warc_rows_without_keys(spark):
+def test_warc_rows_without_keys(spark, tmp_path):
     rows = [(None, None, None), (None, None, "x" * 1000), (4, None, "x" * 1000), (4, "u", "x" * 1000), (1, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = warc.read_records(warc.normalize(warc.write_archives(warc.decide(df)))).collect()
+    got, _ = read_back(spark, df, tmp_path / "a")
     assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter({(None, "response", None): 1, (None, "revisit", 4): 1, (4, "response", None): 2, (1, "response", None): 1})
-    assert warc.read_records(warc.normalize(warc.write_archives(warc.decide(df.limit(0))))).count() == 0
-
-
-def test_export(spark, tmp_path):
-    df = spark.createDataFrame([(k, "http://h/", h) for k, h in pages(9)], "page_id long, url string, html string")
-    normal = warc.normalize(warc.write_archives(warc.decide(df)))
-    done = warc.export_files(normal, f"file://{tmp_path}/out").collect()
-    for r in done:
-        data, index = (tmp_path / "out" / r.archive).read_bytes(), (tmp_path / "out" / f"{r.archive}.idx").read_text().split("\n")[:-1]
-        for line in index:
-            at, n = map(int, line.split())
-            assert zlib.decompress(data[at : at + n], wbits=31).startswith(b"WARC/1.0")
+    assert read_back(spark, df.limit(0), tmp_path / "b") == ([], [])
+
+
+def test_warc_of_a_long_page(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "long text " * 1_000_000), (2, "u", "é"), (3, "u", "long text " * 1_000_000)], "page_id long, url string, html string")
+    got, names = read_back(spark, df, tmp_path, most_bytes=1 << 20)
+    assert {(r.page_id, r.payload_bytes, r.record_type) for r in got} == {(1, 10_000_000, "revisit"), (2, 2, "response"), (3, 10_000_000, "response")}
+
+
+def test_a_broken_payload_is_seen(spark, tmp_path):
+    body = gzip.compress(warc.record(1, None, b"text", "0" * 40, None, "2000-01-01T00:00:00Z"))
+    names = materialize(warc.publish(spark.createDataFrame([("a.warc.gz", bytearray(body), [0], [len(body)])], "archive string, content binary, offsets array<long>, lengths array<long>"), f"file://{tmp_path}"), "names")
+    with pytest.raises(Exception, match="does not match"):
+        warc.read_files(names, f"file://{tmp_path}").collect()
 
 
 def luhn(s):
