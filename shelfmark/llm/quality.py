@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Counts of each text come first.  The rules that follow are predicates over them and over the text; each rule's cost
-and share of rejected rows are measured on a bounded sample, and the rules are then tried in the order of rejections
-per cost, a later rule only where the earlier ones pass.  The order never changes the verdict.
+Counts of each text come first.  The rules that follow are predicates over them and over the text.  On a sample, each
+rule's cost (the characters and words that it looks at) and its rejections are counted, for every combination of rules
+that reject a row together; the rules are then put in order, each time the one that rejects most per cost of the rows
+that all rules before it pass.  A later rule is tried only where the earlier ones pass.  The order never changes the
+verdict, and equal rows give equal orders: nothing is timed.
 
 Rows: a null text counts as empty (no words) and fails the base; repeated rows are judged alike; a text of any length
 is read whole; further columns are ignored; an empty table gives an empty table (and rules in their given order).
@@ -10,12 +12,10 @@ is read whole; further columns are ignored; an empty table gives an empty table
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import of_sample, table
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = " \t\n\x0b\f\r"
@@ -40,7 +40,14 @@ def _repeat_words(words: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(pairs, marked))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    def doubled(hashes: Column, width: int) -> Column:
+        """Hashes of runs of width words to those of twice as many, of the runs that are there."""
+        joined = lambda h: F.zip_with(h, F.slice(h, F.lit(width + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+        return _let(hashes, lambda h: F.slice(joined(h), F.lit(1), F.size(h) - width))
+
+    hashes, width = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while width < WINDOW:
+        hashes, width = doubled(hashes, width), 2 * width
     return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(_let(hashes, counted)).cast("long")
 
 
@@ -61,16 +68,17 @@ def counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def rules() -> dict[str, Column]:
-    """Rejecting predicates over the columns of counts()."""
-    n = F.col("n_words")
+def rules() -> dict[str, tuple[Column, Column]]:
+    """Rejecting predicates over the columns of counts(), and what each costs: how many characters and words it looks
+    at (one for a comparison of counts)."""
+    n, one = F.col("n_words"), F.lit(1).cast("long")
     return {
-        "symbols": 100 * F.col("n_symbols") > 10 * n,
-        "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 18 * n),
-        "dup_lines": 100 * F.col("n_dup_lines") > 50 * F.size("line_list"),
-        "few_letters": 100 * F.size(F.filter("word_list", lambda w: w.rlike(r"\p{L}"))) < 60 * n,
-        "stutter": 100 * F.size(F.filter("word_list", lambda w, i: w == F.get("word_list", i - 1))) > 30 * n,
-        "one_word": 100 * F.size(F.array_distinct("word_list")) < 5 * n,
+        "symbols": (100 * F.col("n_symbols") > 10 * n, one),
+        "word_length": ((F.col("word_chars") < 3 * n) | (F.col("word_chars") > 10 * n), one),
+        "dup_lines": (100 * F.col("n_dup_lines") > 50 * F.size("line_list"), one),
+        "few_letters": (100 * F.size(F.filter("word_list", lambda w: w.rlike(r"\p{L}"))) < 80 * n, F.col("word_chars")),
+        "stutter": (100 * F.size(F.filter("word_list", lambda w, i: w == F.get("word_list", i - 1))) > 10 * n, n),
+        "few_distinct": (100 * F.size(F.array_distinct("word_list")) < 20 * F.least(n, F.lit(1000)), 2 * n),
     }
 
 
@@ -78,38 +86,35 @@ def base_failed(min_words: int = 20, most_repeated: int = 30) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
 
 
-def cascade_order(df: DataFrame, text_col: str, sample_rows: int = 1000) -> list[str]:
-    """Names of the rules by rejections per second on a sample: a hash fraction of all rows, of about
-    sample_rows rows and never over twice as many."""
-    total = max(1, df.count())
-    share = min(1.0, sample_rows / total)
-    spark = df.sparkSession
-    picked = df.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    sample = spark.createDataFrame(picked.limit(2 * sample_rows).collect(), "text string")
-    sample = counts(sample).persist()
-    seen = max(1, sample.count())
-    worth = {}
-    for name, rejects in rules().items():
-        began = time.perf_counter()
-        rejected = sample.where(rejects).count()
-        worth[name] = (rejected / seen) / max(1e-6, time.perf_counter() - began)
-    sample.unpersist()
-    return sorted(worth, key=lambda k: -worth[k])
+def cascade_order(df: DataFrame, id_col: str, text_col: str, sample_rows: int = 1000) -> list[str]:
+    """Names of the rules by conditional rejections per cost on a sample: a hash fraction of all rows, of about
+    sample_rows rows.  One row for each combination of rules reaches the driver, 64 at most."""
+    picked = df.where(of_sample(F.col(id_col).cast("string"), sample_rows, max(1, df.count())))
+    told = counts(picked.select(F.col(text_col).cast("string").alias("text"))).where(~base_failed())
+    names = list(rules())
+    flags = told.select(F.concat(*(F.when(r, "1").otherwise("0") for r, _ in rules().values())).alias("hit"), *(cost.alias(f"cost_{k}") for k, (_, cost) in rules().items()))
+    seen = flags.groupBy("hit").agg(F.count("*").alias("n"), *(F.sum(f"cost_{k}").alias(f"cost_{k}") for k in names)).collect()
+    order: list[str] = []
+    while len(order) < len(names):
+        passed = [r for r in seen if all(r["hit"][names.index(k)] == "0" for k in order)]
+        worth = {k: sum(r["n"] for r in passed if r["hit"][names.index(k)] == "1") / max(1, sum(r[f"cost_{k}"] for r in passed)) for k in names if k not in order}
+        order.append(max(worth, key=lambda k: (worth[k], -names.index(k))))
+    return order
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1000) -> DataFrame:
     """(id, counts, base_failed, kept, rejected_by): rejected_by is "base", a rule's name, or null."""
-    order, every = cascade_order(df, text_col, sample_rows), rules()
+    order, every = cascade_order(df, id_col, text_col, sample_rows), rules()
     counted = counts(df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")))
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for name in order:
-        verdict = verdict.when(every[name], F.lit(name))
+        verdict = verdict.when(every[name][0], F.lit(name))
     out = counted.withColumn("base_failed", base_failed()).withColumn("rejected_by", verdict)
     return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
 
 
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # rejected_by names the first rule in the measured order, so it may differ between runs; kept may not
+    # rejected_by follows from the sample's order, which SQL does not draw
     return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
@@ -124,7 +129,7 @@ lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_
 counted AS (SELECT doc_id, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN repeated USING (doc_id) LEFT JOIN lines USING (doc_id)),
 based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT (base_failed OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 18 * n_words OR 100 * n_dup_lines > 50 * n_lines
-    OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 60 * n_words OR 100 * len(list_filter(w, lambda x, i: x = w[i - 1])) > 30 * n_words OR 100 * len(list_distinct(w)) < 5 * n_words) AS kept
+    NOT (base_failed OR 100 * n_symbols > 10 * n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 100 * n_dup_lines > 50 * n_lines
+    OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 80 * n_words OR 100 * len(list_filter(w, lambda x, i: x = w[i - 1])) > 10 * n_words OR 100 * len(list_distinct(w)) < 20 * least(n_words, 1000)) AS kept
 FROM based"""
 }
