@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, table
+from .shared import bounded_batches, of_sample, table
 from .textcols import slices, utf8
 
 FEATURES = 4096
@@ -107,8 +107,7 @@ class Model:
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 8000, smoothing: float = 0.5) -> Model:
     """df: the rows to learn from.  Two passes over a sample of about train_rows rows: n-gram sums, then bit accuracy."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, train_rows / max(1, labelled.select(lang_col).count()))
-    picked = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("learn")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    picked = labelled.where(of_sample(F.col(id_col).cast("string"), train_rows, labelled.select(lang_col).count()))
     picked = bounded_batches(picked).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

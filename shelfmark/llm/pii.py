@@ -44,7 +44,8 @@ _PHONE_DIGITS = r"(?<=\+" + r"[ .()-]{0,2}[0-9]" * 8 + r"(?:[ .()-]{0,2}[0-9])?"
 #: Country codes as E.164 assigns them: no code is the start of another (fixed values).
 _COUNTRY = r"1|7|2(?:[07]|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[035789][0-9])|9(?:[0-58]|[679][0-9])"
 _NAMES = r"(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+#: Local parts have any length; a host name has at most 127 labels of at most 63 characters (RFC 1035).
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}"
 #: Formats and their patterns, in order of preference.
 PATTERNS = {
     "email": _EMAIL,

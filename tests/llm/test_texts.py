@@ -64,6 +64,24 @@ def test_substrings(df, docs, bucket_windows):
         assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
 
 
+@pytest.mark.parametrize("bucket_windows", [250_000, 20])
+def test_rows_of_one_id_are_told_apart_by_whole_hashes(spark, monkeypatch, bucket_windows):
+    """Two texts of one doc_id that agree in 16 bits of their hash, and a row that is there three times."""
+    r = random.Random(11)
+    old = " ".join(f"o{i}" for i in range(20))
+    rows = [(7, " ".join(f"n{i}{r.randrange(10**6)}" for i in range(14)) + (" " + old if i == 5 else "")) for i in range(600)]
+    hashes = [h.h & 65535 for h in spark.createDataFrame([(t,) for _, t in rows], "t string").select(F.xxhash64("t").alias("h")).collect()]
+    assert len(set(hashes)) < len(rows)  # some do agree
+    rows += [(1, old), (8, old), (8, old), (8, old)]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bucket_windows=bucket_windows)
+    same(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute.substrings(rows))
+
+
+def test_every_bucket_may_be_large(spark, docs, df, monkeypatch):
+    monkeypatch.setattr(substrings, "MARKS", 4)  # buckets share marks
+    same(substrings.deduplicate(df, bucket_windows=20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute.substrings(docs))
+
+
 def test_substrings_of_a_large_group(spark):
     rows = [(i, "start " * (i % 3) + " ".join(f"p{j}" for j in range(30))) for i in range(200)]
     got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), bucket_windows=20)
@@ -78,9 +96,9 @@ def test_window_hash_collisions_are_told_apart(monkeypatch):
 
 
 @pytest.mark.parametrize("weights", ["ones", "counts"])
-@pytest.mark.parametrize("block", [4096, 3])
-def test_near_duplicates(df, docs, weights, block):
-    got = neardup.classes(df, weights=weights, bucket_block=block, cluster_block=block)
+@pytest.mark.parametrize("block, block_bytes", [(4096, 32 << 20), (3, 32 << 20), (4096, 500)])
+def test_near_duplicates(df, docs, weights, block, block_bytes):
+    got = neardup.classes(df, weights=weights, bucket_block=block, cluster_block=block, block_bytes=block_bytes)
     same(got.select("doc_id", "class_id").collect(), brute.classes(docs, counts=weights == "counts"))
 
 
@@ -115,6 +133,23 @@ def test_quality_order_does_not_change_the_verdict(df, monkeypatch):
     assert verdicts[0] == verdicts[1]
 
 
+def test_the_cascade_tries_what_rejects_most_for_its_cost_first(spark):
+    words = " ".join(f"word{i}" for i in range(30))
+    texts = [f"{words} {i}" for i in range(40)] + [f"{words} ### ### ###{i}" for i in range(4)] + [" ".join("a b c d e f g h i j k l m n o p q r s t u v".split()) + f" {i}" for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = quality.cascade_order(docs, "doc_id", "text")
+    assert order[:2] == ["word_length", "symbols"] and set(order) == set(quality.rules())  # nine short-worded, four with symbols
+    assert quality.cascade_order(docs.repartition(5), "doc_id", "text") == order
+
+
+def test_samples_are_never_empty():
+    from shelfmark.llm.shared import sample_bound
+
+    for total in (10**3, 10**6, 10**9, 10**11, 10**15):
+        assert abs(sample_bound(1000, total) / (1 << 63) * total - 1000) < 1
+    assert sample_bound(1000, 0) == sample_bound(1000, 10) == (1 << 63) - 1
+
+
 @pytest.fixture(scope="module")
 def exact():
     from tokenizers import Tokenizer
@@ -142,6 +177,15 @@ def test_bpe_on_random_strings(exact):
         assert coder.decode_batch(ids, ends) == texts
 
 
+def test_bpe_of_long_words(exact):
+    r = random.Random(3)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    coder = bpe.bpe(bpe.vocabulary_path(), bpe.class_table())
+    texts = [letters, "the cat " + letters[:5000] + " sat", "ab" * 4000, "aab" * 3000 + "zq" * 300, "é漢" * 900]
+    ids, ends = coder.encode_batch(*utf8(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [e.ids for e in exact.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_decodes_incomplete_characters(exact):
     coder = bpe.bpe(bpe.vocabulary_path(), bpe.class_table())
     r = random.Random(4)
@@ -189,6 +233,21 @@ def test_best_fit_takes_the_fullest_bin():
     assert bins.tolist() == [1, 0, 0, 1, 1] and offsets.tolist() == [0, 0, 7, 5, 9]
 
 
+def test_packing_small_bins_find_large_ones_in_other_partitions(spark):
+    """Each partition's leftovers fit those of others: the tree goes on until nothing joins."""
+    r = random.Random(6)
+    rows = [(i, 0, 0, r.choice([200, 180, 56, 76, 130, 126]), 0) for i in range(2000)]
+    bins = {gain: packing.pack(spark.createDataFrame(rows, packing.PIECE), capacity=256, leaf_rows=30, least_gain=gain).select("sequence_id").distinct().count() for gain in (0.0, 1.0)}
+    together = int(packing.best_fit(np.array([x[3] for x in rows]), 256)[0].max()) + 1
+    assert together <= bins[0.0] <= 1.1 * together and bins[0.0] <= bins[1.0]  # partitions of 30 items lose some fits for good
+
+
+def test_packing_repeated_rows_part(spark):
+    rows = [(1, 0, 0, 100, 5)] * 900
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECE).repartition(3), capacity=256, leaf_rows=20)
+    assert out.count() == 900 and out.select("sequence_id").distinct().count() <= 460
+
+
 def test_packing_items_that_never_join(spark):
     rows = [(i, 0, 0, 150, 0) for i in range(300)]
     out = packing.pack(spark.createDataFrame(rows, packing.PIECE), capacity=256, leaf_rows=20)
@@ -204,6 +263,54 @@ def test_shards(df, docs):
     assert set(slots) == set(range(5)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+@pytest.mark.parametrize("ids", ["large", "negative", "null", "hashed"])
+def test_shards_of_unequal_sizes_and_any_ids(spark, ids):
+    r = random.Random(2)
+    number = {"large": lambda i: 2**40 + i, "negative": lambda i: -i * 2**33, "null": lambda i: None, "hashed": lambda i: r.randrange(-(2**63), 2**63)}[ids]
+    rows = [(number(i), "x" * int(r.lognormvariate(4, 1.2)), r.choice(["de", "en", None]), f"host{r.randrange(300)}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    dims = sharding.document_rows(docs)
+    if ids != "null":
+        assert dims.select("d0").distinct().count() > 5000 and dims.agg(F.min("d0"), F.max("d0")).first()[:] == (1, 2**31 - 1)
+    assert dims.select("d2").distinct().count() == 300 and dims.select("d3").distinct().count() == 3
+    loads = [r["bytes"] for r in sharding.kd_shards(dims).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
+    mean = sum(len(t) + 8 for _, t, *_ in rows) / 24
+    assert len(loads) == 24 and max(abs(x - mean) for x in loads) < 0.01 * mean + max(len(t) for _, t, *_ in rows) / 2
+
+
+def test_shards_do_not_depend_on_file_splits(spark, docs):
+    rows = [(k, t, "en", "s") for k, t in dict(docs).items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    told = [Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.kd_shards(sharding.document_rows(df.repartition(n))).collect()) for n in (1, 7)]
+    assert told[0] == told[1]
+
+
+def test_shards_follow_the_tree(spark):
+    """The cuts by brute force: at each node the widest dimension's weighted quantile, one row's bytes off at most."""
+    r = random.Random(4)
+    docs = spark.createDataFrame([(r.randrange(10**9), "y" * r.randrange(50, 90), r.choice("abc"), r.choice("stuvw")) for _ in range(1500)], "doc_id long, text string, lang string, source string")
+    dims = sharding.document_rows(docs)
+    rows = [x.asDict() for x in sharding.kd_shards(dims, shards=6).join(dims, ["doc_id", "size", "text_crc32", "tie", "d0", "d1", "d2", "d3"]).collect()]
+    whole = [max(x[f"d{d}"] for x in rows) - min(x[f"d{d}"] for x in rows) for d in range(4)]
+
+    def cut(own, first, k):
+        if k == 1:
+            assert {x["shard"] for x in own} == {first}
+            return
+        wide = [(max(x[f"d{d}"] for x in own) - min(x[f"d{d}"] for x in own)) / max(1, whole[d]) for d in range(4)]
+        d, half = wide.index(max(wide)), k // 2
+        left = [x for x in own if x["shard"] < first + half]
+        right = [x for x in own if x["shard"] >= first + half]
+        key = lambda x: (x[f"d{d}"], x["tie"])
+        assert max(map(key, left)) < min(map(key, right))
+        want = sum(x["size"] for x in own) * half / k
+        assert abs(sum(x["size"] for x in left) - want) <= 0.002 * sum(x["size"] for x in own) / k + 98
+        cut(left, first, half)
+        cut(right, first + half, k - half)
+
+    cut(rows, 0, 6)
+
+
 def test_shards_are_near_equal_even_with_one_value(spark):
     docs = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit("the same text").alias("text"), F.lit(None).cast("string").alias("lang"), F.lit("x").alias("source"))
     got = {r.shard: r["count"] for r in sharding.kd_shards(sharding.document_rows(docs)).groupBy("shard").count().collect()}
