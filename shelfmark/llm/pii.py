@@ -2,12 +2,19 @@
 
 Values that pass their format's own test (check digits, calendar, octet ranges, number plan) are replaced by a keyed
 permutation of the format: a Feistel network over the value's positions, each position with its own radix, so that a
-card number becomes another number with valid check digit, a date another date, an address another address.  The
-permutation depends on the key and the format alone, so equal values get equal pseudonyms in all documents.  Values
-that fail their test stay as they are.
-
-Formats: payment card numbers (Luhn), IBANs (mod 97), dates (1890-01-01 to 2100-04-09), US social security numbers,
-telephone numbers, IPv4 addresses, the local part of e-mail addresses, and values of any length assigned to password,
+card number becomes another number with valid check digit, a date another date written alike, an address another
+address.  The permutation depends on the key and the format alone, so equal values get equal pseudonyms in all
+documents, and no two values of a format get the same one: where a format is a part of what its positions can hold
+(dates with one-digit days, numbers outside a number plan), the permutation is applied until it is back in that part.
+Values that fail their test stay as they are.  A permutation may leave a value where it is, mostly a short one; it
+counts as replaced.
+
+There is no key by default: who knows the key can undo the pseudonyms.  The registered query and the pipeline take it
+from the session's setting KEY_SETTING; where that is unset they draw a random one for the application.
+
+Formats: payment card numbers (Luhn), IBANs (mod 97), dates in digits (1890-01-01 to 2100-04-09; a month-first date is
+one that is none day-first), US social security numbers, telephone numbers (a number of the North American plan becomes
+another of that plan; of others country code, length and a first digit that is not zero are kept), IPv4 addresses, the local part of e-mail addresses, and values of any length assigned to password,
 token, secret or key names, also where these end a longer name (db_password).  One table gives patterns and one gives permutations; nothing is collected, joined or shuffled.
 
 Rows: a null text stays null; repeated rows get equal pseudonyms; texts of any length are searched whole; other
@@ -20,12 +27,15 @@ numbers, which have no check digits, are looked for last, in what the other form
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
 
-ROUNDS = 8
+ROUNDS, WALK = 8, 200
+KEY_SETTING = "spark.shelfmark.pseudonym.key"
 FIRST_DAY, DAY_HIGH, DAY_LOW = "1890-01-01", 300, 256
 
 #: Lengths of account numbers by country, as the public IBAN registry has them (fixed values).
@@ -63,6 +73,14 @@ TESTED = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "phone")
 _FOUND = "\ue000"
 
 
+_drawn_keys: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key set for the session, else a random one that lives as long as the application."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -99,6 +117,15 @@ def permuted(values: Column, radix: Column, key: str, kind: str) -> Column:
     return _let(radix, lambda r: F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, lambda v, k: one_round(v, r, F.size(r), k)))
 
 
+def _walked(value: Column, step, ok) -> Column:
+    """step(value), and step again until ok holds: a permutation of what is ok, if step is one of all values.
+
+    WALK steps at most; with a fifth of all values ok, as in the narrowest format here, one value in 10**19 needs more."""
+    start = F.struct(value.alias("v"), F.lit(False).alias("done"))
+    again = lambda a: _let(step(a["v"]), lambda x: F.struct(x.alias("v"), ok(x).alias("done")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda a, _: F.when(a["done"], a).otherwise(again(a)), lambda a: a["v"])
+
+
 def _fill(template: Column, digits: Column) -> Column:
     """template with its digits replaced, in order, by those of the string digits."""
     put = F.transform(F.sequence(F.lit(1), F.length(template)), lambda i: F.when(F.substr(template, i, F.lit(1)).rlike("[0-9]"), F.substr(digits, F.length(_digits(F.substr(template, F.lit(1), i))), F.lit(1))).otherwise(F.substr(template, i, F.lit(1))))
@@ -122,7 +149,7 @@ def _card(m: Column, key: str) -> Column:
     n = F.length(d)
     payload = F.concat(F.substr(d, F.lit(1), F.lit(1)), _permuted_digits(F.substr(d, F.lit(2), n - 2), key, "card"))
     new = _let(payload, lambda p: F.concat(p, F.pmod(-luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)).cast("string")))
-    return F.when((luhn_sum(d) % 10 == 0) & (d.rlike("[1-9]")), _fill(m, new)).otherwise(m)
+    return F.when((luhn_sum(d) % 10 == 0) & (d.rlike("[1-9]")), _fill(m, new))
 
 
 def _mod97(s: Column) -> Column:
@@ -139,34 +166,51 @@ def _iban(m: Column, key: str) -> Column:
     moved = _fill(body, _permuted_digits(_digits(body), key, "iban"))
     country = F.substr(s, F.lit(1), F.lit(2))
     new = _let(moved, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), b))).cast("string"), 2, "0"), b))
-    return F.when((_mod97(s) == 1) & body.rlike("[0-9]{2}"), _let(new, lambda b: _fill(m, _digits(b)))).otherwise(m)
+    return F.when((_mod97(s) == 1) & body.rlike("[0-9]{2}"), _let(new, lambda b: _fill(m, _digits(b))))
+
+
+def _day_number(n: Column, key: str) -> Column:
+    """The permuted number of a day's number from FIRST_DAY on."""
+    radix = F.array(F.lit(DAY_HIGH).cast("long"), F.lit(DAY_LOW).cast("long"))
+    return _let(permuted(F.array(F.floor(n / DAY_LOW).cast("long"), n % DAY_LOW), radix, key, "date"), lambda v: v[0] * DAY_LOW + v[1])
+
+
+def _day_at(n: Column) -> Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
 
 
 def _days(day: Column, key: str) -> Column:
     """The permuted date of a date in range."""
-    n = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    radix = F.array(F.lit(DAY_HIGH).cast("long"), F.lit(DAY_LOW).cast("long"))
-    moved = permuted(F.array(F.floor(n / DAY_LOW).cast("long"), n % DAY_LOW), radix, key, "date")
-    return _let(moved, lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), (v[0] * DAY_LOW + v[1]).cast("int")))
+    return _let(_day_number(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), key), _day_at)
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first; or day, month, year (with slashes and no such day, month, day, year)."""
+    """Year first; or day, month, year (with slashes and no such day, month, day, year).  Fields of one digit become
+    fields of one digit, so that the length stays."""
     part = lambda p, i: F.regexp_extract(m, p, i)
     big, small = r"^([0-9]{4})[-/]([0-9]{2})[-/]([0-9]{2})$", r"^([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4})$"
     day_of = lambda y, mo, d: F.try_to_timestamp(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
     year_first = m.rlike(big)
     european = day_of(part(small, 3), part(small, 2), part(small, 1))
     american = F.when(m.contains("/"), day_of(part(small, 3), part(small, 1), part(small, 2)))
-    last = F.date_add(F.lit(FIRST_DAY).cast("date"), DAY_HIGH * DAY_LOW - 1)
+    turned = ~year_first & european.isNull()
+    day = F.when(year_first, day_of(part(big, 1), part(big, 2), part(big, 3))).otherwise(F.coalesce(european, american))
+    short = [F.length(part(small, i)) == 1 for i in (1, 2)]
+    fields = lambda d: (F.when(turned, F.month(d)).otherwise(F.dayofmonth(d)), F.when(turned, F.dayofmonth(d)).otherwise(F.month(d)))
 
-    def written(day: Column, order: Column) -> Column:
-        pattern = F.when(year_first & m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(year_first, F.date_format(day, "yyyy/MM/dd"))
-        return pattern.when(m.contains("."), F.date_format(day, "dd.MM.yyyy")).when(order == "american", F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    def fits(n: Column) -> Column:
+        one, two = fields(_day_at(n))
+        return year_first | ((~short[0] | (one < 10)) & (~short[1] | (two < 10)) & (~turned | (two > 12)))
 
-    day = F.when(year_first, day_of(part(big, 1), part(big, 2), part(big, 3))).otherwise(F.coalesce(european, american))
-    order = F.when(~year_first & european.isNull(), F.lit("american")).otherwise(F.lit("other"))
-    return _let(day, lambda d: F.when(d.between(F.lit(FIRST_DAY).cast("date"), last), _let(_days(d, key), lambda x: written(x, order))).otherwise(m))
+    def written(d: Column) -> Column:
+        shown = [F.when(s, f.cast("string")).otherwise(F.lpad(f.cast("string"), 2, "0")) for s, f in zip(short, fields(d))]
+        mark = F.when(m.contains("."), ".").otherwise("/")
+        other = F.concat(shown[0], mark, shown[1], mark, F.date_format(d, "yyyy"))
+        return F.when(year_first & m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(year_first, F.date_format(d, "yyyy/MM/dd")).otherwise(other)
+
+    number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
+    moved = lambda n: _let(_walked(n, lambda x: _day_number(x, key), fits), lambda x: written(_day_at(x)))
+    return _let(number, lambda n: F.when(n.between(0, DAY_HIGH * DAY_LOW - 1), moved(n)))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -176,7 +220,29 @@ def _ssn(m: Column, key: str) -> Column:
     values = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
     moved = permuted(values, F.array(*(F.lit(x).cast("long") for x in (898, 99, 9999))), key, "ssn")
     new = _let(moved, lambda v: F.concat_ws("-", F.lpad(F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1).cast("string"), 3, "0"), F.lpad((v[1] + 1).cast("string"), 2, "0"), F.lpad((v[2] + 1).cast("string"), 4, "0")))
-    return F.when(valid, new).otherwise(m)
+    return F.when(valid, new)
+
+
+#: Area and exchange codes of the North American plan: no 0 or 1 first, no 9 in the middle of an area code, no N11.
+_PLAN = r"^[2-9](?!11)[0-8][0-9][2-9](?!11)[0-9][0-9][0-9]{4}$"
+
+
+def _plan_number(d: Column, key: str) -> Column:
+    """Ten digits of the plan as others of the plan: 8 x 89 areas, 8 x 99 exchanges, 10000 lines."""
+    code = lambda at, block: _let(F.substr(d, F.lit(at), F.lit(3)).cast("long"), lambda c: (F.floor(c / 100) - 2) * block + c % 100 - F.when(c % 100 > 11, 1).otherwise(0))
+    shown = lambda v, block: _let(v % block, lambda i: ((F.floor(v / block) + 2) * 100 + i + F.when(i >= 11, 1).otherwise(0)).cast("string"))
+    values = F.array(*(x.cast("long") for x in (code(1, 89), code(4, 99), F.substr(d, F.lit(7), F.lit(4)))))
+    moved = permuted(values, F.array(*(F.lit(x).cast("long") for x in (8 * 89, 8 * 99, 10_000))), key, "plan")
+    return _let(moved, lambda v: F.concat(shown(v[0], 89), shown(v[1], 99), F.lpad(v[2].cast("string"), 4, "0")))
+
+
+def _other_number(d: Column, key: str) -> Column:
+    """Digits whose first one stays zero, or not zero."""
+    first = F.substr(d, F.lit(1), F.lit(1)) != "0"
+    least = lambda i: F.when((i == 0) & first, 1).otherwise(0)
+    radix = F.transform(_chars(d), lambda _, i: F.when(i > 0, 10).when(first, 9).otherwise(1).cast("long"))
+    moved = permuted(F.transform(_ints(d), lambda x, i: x - least(i)), radix, key, "phone")
+    return _let(moved, lambda v: F.array_join(F.transform(v, lambda x, i: (x + least(i)).cast("string")), ""))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -184,19 +250,31 @@ def _phone(m: Column, key: str) -> Column:
     head = F.regexp_extract(m, rf"^(\+(?:{_COUNTRY}|[0-9]{{1,3}}))", 1)
     rest = F.substr(m, F.length(head) + 1, F.length(m))
     d = _digits(rest)
-    return F.when(F.length(d).between(7, 14), F.concat(head, _fill(rest, _permuted_digits(d, key, "phone")))).otherwise(m)
+    american = head.isin("", "+1") & (F.length(d) == 10)
+    outside = lambda x: _walked(x, lambda y: _permuted_digits(y, key, "phone"), lambda y: ~y.rlike(_PLAN))
+    new = lambda x: F.when(american & x.rlike(_PLAN), _plan_number(x, key)).when(american, outside(x)).otherwise(_other_number(x, key))
+    return F.when(F.length(d).between(7, 14), F.concat(head, _fill(rest, _let(d, new))))
 
 
 def _ipv4(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     moved = permuted(octets, F.transform(octets, lambda _: F.lit(256).cast("long")), key, "ipv4")
-    return F.when(F.forall(octets, lambda x: x < 256), F.array_join(F.transform(moved, lambda x: x.cast("string")), ".")).otherwise(m)
+    return F.when(F.forall(octets, lambda x: x < 256), F.array_join(F.transform(moved, lambda x: x.cast("string")), "."))
+
+
+#: A character is permuted among those of its own kind, so that hexadecimal stays that and no other text becomes it.
+_KINDS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
 
 
 def _permuted_text(s: Column, key: str, kind: str) -> Column:
-    """Letters of a case become letters of that case and digits digits; lower-case hexadecimal stays that."""
-    hexadecimal = s.rlike("^[0-9a-f]{8,}$")
-    alphabet = lambda c: F.when(hexadecimal, F.lit("0123456789abcdef")).when(c.rlike("[0-9]"), F.lit("0123456789")).when(c.rlike("[a-z]"), F.lit("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+    """Digits become digits, and letters letters of their case and kind; other characters stay."""
+
+    def alphabet(c: Column) -> Column:
+        out = c
+        for letters in _KINDS:
+            out = F.when(c.between(letters[0], letters[-1]), F.lit(letters)).otherwise(out)
+        return out
+
     chars = _chars(s)
     values = F.transform(chars, lambda c: (F.position(c, alphabet(c)) - 1).cast("long"))
     radix = F.transform(chars, lambda c: F.length(alphabet(c)).cast("long"))
@@ -216,12 +294,12 @@ _REPLACE = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "s
 
 
 def pseudonym(match: Column, key: str) -> Column:
-    """(kind, new) of one match."""
+    """(kind, new) of one match; new is null if it fails its format's test."""
     out = None
     for kind, pattern in PATTERNS.items():
         is_kind, made = match.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), _REPLACE[kind](match, key).alias("new"))
         out = F.when(is_kind, made) if out is None else out.when(is_kind, made)
-    return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), match.alias("new")))
+    return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("new")))
 
 
 def _covers(made: Column, pieces: Column) -> Column:
@@ -230,7 +308,7 @@ def _covers(made: Column, pieces: Column) -> Column:
 
     One walk from left to right. It appends within blocks of about the root of the number of pieces, so that a text of
     very many candidates is not copied once for each."""
-    steps = F.transform(made, lambda m, i: F.struct((m["p"]["new"] != m["old"]).alias("ok"), F.length(m["old"]).alias("size"), F.length(F.get(pieces, i + 1)).alias("room")))
+    steps = F.transform(made, lambda m, i: F.struct(m["p"]["new"].isNotNull().alias("ok"), F.length(m["old"]).alias("size"), F.length(F.get(pieces, i + 1)).alias("room")))
 
     def step(state: Column, x: Column) -> Column:
         taken = (state["left"] == 0) & x["ok"]
@@ -255,8 +333,10 @@ def _woven(gaps: Column, values: Column) -> Column:
     return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(values, i), F.lit("")))), "")
 
 
-def pseudonymize(df: DataFrame, key: str = "shelfmark", text_col: str = "text") -> DataFrame:
+def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """df with its text's personal data replaced, and n_pseudonyms and pii_kinds (sorted, distinct) of what was."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     text = F.col(text_col)
     # a blank before the text, so that each piece but the first starts with a candidate
     padded = F.when(text.rlike("[0-9@=:]"), F.concat(F.lit(" "), text))
@@ -274,9 +354,9 @@ def pseudonymize(df: DataFrame, key: str = "shelfmark", text_col: str = "text")
         "_back": F.flatten(F.transform("_pieces", lambda p, i: F.concat(own(i), F.array_repeat(mark, marks(tail(p, i)))))),
     })
     told = told.withColumn("_phones", F.transform(F.regexp_extract_all("_text", F.lit(PATTERNS["phone"]), F.lit(0)), lambda m: F.struct(m.alias("old"), _phone(m, key).alias("new"))))
-    told = told.withColumn("_text", _woven(F.split("_text", PATTERNS["phone"], -1), F.transform("_phones", lambda x: x["new"])))
+    told = told.withColumn("_text", _woven(F.split("_text", PATTERNS["phone"], -1), F.transform("_phones", lambda x: F.coalesce(x["new"], x["old"]))))
     told = told.withColumn("_text", _woven(F.split("_text", _FOUND, -1), F.transform("_back", lambda x: x["new"])))
-    phones = F.transform(F.filter("_phones", lambda x: x["new"] != x["old"]), lambda _: F.lit("phone"))
+    phones = F.transform(F.filter("_phones", lambda x: x["new"].isNotNull()), lambda _: F.lit("phone"))
     kinds = F.concat(F.filter(F.transform("_back", lambda x: x["kind"]), lambda k: k.isNotNull()), phones)
     told = told.withColumn("_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
     new = F.when(F.size("_kinds") > 0, F.substr("_text", F.lit(2), F.length("_text"))).otherwise(text)
@@ -285,7 +365,7 @@ def pseudonymize(df: DataFrame, key: str = "shelfmark", text_col: str = "text")
 
 
 def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_pseudonyms", F.array_join("pii_kinds", ",").alias("pii_kinds"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark)).select("doc_id", "text", "n_pseudonyms", F.array_join("pii_kinds", ",").alias("pii_kinds"))
 
 
 QUERIES = {"op2_pii_feistel": op2_pii_feistel}

@@ -13,7 +13,7 @@ import corpus_pipeline
 from shelfmark.llm import pii, warc
 from shelfmark.llm.shared import materialize
 
-from . import brute
+from . import brute, brute_pii
 from .test_texts import sample, same
 
 
@@ -112,6 +112,59 @@ def test_formats_are_kept(spark):
     assert got == replaced(spark, texts) and got[0] != replaced(spark, texts, "other")[0]
 
 
+def test_whole_documents_equal_plain_python(spark):
+    r = random.Random(12)
+    values = ["4845168114407329", "378282246310005", "4845 1681 1440 7329", "+1 (817) 555-7713", "(017) 555-7713", "212-555-0147", "+44 20 7946 0958", "+390612345678", "97.51.17.173", "a.Bc9@mail7.example.com", "x" * 90 + "@" + "a." * 30 + "example.com",
+              "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "123-45-6789", "2020-02-29", "1/2/2020", "12/1/2020", "3/14/2020", "02/29/2020", "1.02.2020", "29.02.2020", "token = 69ed38d471cb4c994c5dd53b42f8be44", "db_password=Abc123xyz", "300.1.2.3", "1234", "+", "-", "é", "word", "(", "99"]
+    made = ["".join(r.choice(values) + r.choice([" ", ", ", "\n", "; "]) for _ in range(r.randrange(1, 12))) for _ in range(150)]
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + made + [None, "", "  "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {x.doc_id: (x.text, x.n_pseudonyms, x.pii_kinds) for x in pii.pseudonymize(rows, "k").collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == brute_pii.pseudonymized(t, "k"), t
+    assert {"email", "secret", "iban", "date", "ssn", "phone", "ipv4", "card"} == {x for _, _, kinds in got.values() for x in kinds}
+
+
+def test_formats_are_parts_that_the_permutation_keeps(spark):
+    """No two values of a format share a pseudonym, and each keeps its own shape."""
+    groups = {
+        "one digit each": [f"{d}/{m}/2020" for d in range(1, 10) for m in range(1, 10)],
+        "month first": [f"{m:02d}/{d}/2021" for m in (1, 3, 5) for d in range(13, 32)],
+        "one and two": [f"{d}.{m}.1999" for d in range(1, 10) for m in (10, 11, 12)],
+        "plan": [f"({a}) 555-{n:04d}" for a in (212, 313, 989) for n in range(60)],
+        "no plan": [f"({a:03d}) 555-{n:04d}" for a in (17, 111, 211) for n in range(60)],
+        "hexadecimal": [f"key: {k:08x}" for k in range(0xDEAD0000, 0xDEAD0100)],
+        "letters": [f"key: ghij{k:04d}" for k in range(200)],
+    }
+    groups = {k: [x.replace("key:", "api_key:") for x in v] for k, v in groups.items()}
+    got = replaced(spark, [x for v in groups.values() for x in v])
+    at = 0
+    plan = re.compile(r"\([2-9](?!11)[0-8]\d\) [2-9](?!11)\d\d-\d{4}")
+    for name, old in groups.items():
+        new, at = got[at : at + len(old)], at + len(old)
+        assert len(set(new)) == len(old) and all(re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b) for a, b in zip(old, new)) == (name not in ("hexadecimal", "letters"))
+        if name == "month first":
+            assert all(int(x.split("/")[1]) > 12 for x in new)
+        if "plan" in name:
+            assert all(bool(plan.fullmatch(x)) == (name == "plan") for x in new)
+        if name == "hexadecimal":
+            assert all(re.fullmatch("api_key: [0-9a-f]{8}", x) for x in new)
+
+
+def test_keys(spark):
+    df = spark.createDataFrame([(1, "a@b.com")], "doc_id int, text string")
+    for key in (None, ""):
+        with pytest.raises(ValueError, match="key"):
+            pii.pseudonymize(df, key)
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 64 and pii.session_key(spark) == drawn
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.session_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_invalid_values_and_prose_stay(spark):
     texts = ["4845168114407328", "300.1.2.3", "2021-02-29", "000-12-3456", "DE89370400440532013001", "Apache License, Version 2.0.", "CC BY-NC 4.0", "no. 12, 1998", "a @ b", None, "", "§ é 漢"]
     assert replaced(spark, texts) == texts
@@ -172,8 +225,8 @@ def test_permutation_is_one_to_one(spark):
 
 def test_clashing_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a@b.com", "x", "y")], "doc_id int, text string, n_pseudonyms string, pii_kinds string")
-    got = pii.pseudonymize(df).collect()[0]
-    assert got.n_pseudonyms == 1 and got.pii_kinds == ["email"] and pii.pseudonymize(df.limit(0)).count() == 0
+    got = pii.pseudonymize(df, "k").collect()[0]
+    assert got.n_pseudonyms == 1 and got.pii_kinds == ["email"] and pii.pseudonymize(df.limit(0), "k").count() == 0
 
 
 def test_pipeline(spark, tmp_path):
