@@ -252,3 +252,21 @@ def test_pipeline(spark, tmp_path):
     for r in packed.collect():
         sizes[r.sequence_id] += r.length
     assert max(sizes.values()) <= 2048 and {r.doc_id for r in packed.select("doc_id").collect()} == set(told)
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, columns of the stages' own names, and an empty table."""
+    text = "the quick fox and the dog walk over the hill with nine good friends and one old cat today"
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (None, text + " again", "en", None, None), (2, None, None, None, None), (3, "", "en", "s", 0), (None, None, "en", "s", 1), (4, "12 34", "de", "s", 2)]
+    rows = [(*x, "c", 0.5, "c", "c", 1) for x in rows] + [(k, f"{text} {k} more", "en", "s", 1, "c", 0.5, "c", "c", 1) for k in range(10, 30)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, n_words string, text_key string, sequence_id long")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, str(tmp_path))
+            assert got.columns == corpus_pipeline.COLUMNS
+            kept = got.collect()
+            assert name == "language" or {x.doc_id for x in kept} >= {1} or docs is not odd
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.count() == docs.count()
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted((x.doc_id or 0) for x in stages["near_duplicates"](spark, odd, "").collect()) == [0, 1, 1, 2, 3, 4] and stages["personal_data"](spark, odd, "").count() == odd.count()
