@@ -110,7 +110,7 @@ def _counted(elements: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def signatures(df: DataFrame, weights: str = "counts") -> DataFrame:
-    """df (id, key, text) to (id, key, sig): sig is null for texts without a word."""
+    """df (id, key, text) to (id, key, sig, bytes): sig is null for texts without a word, bytes is the text's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -121,9 +121,10 @@ def signatures(df: DataFrame, weights: str = "counts") -> DataFrame:
                 elements, rows, counts = _counted(elements, rows)
             sig = dart_signatures(elements, counts, rows, batch.num_rows)
             sigs = pa.array([s.tobytes() if ok else None for s, ok in zip(sig, told.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), sigs], ["id", "key", "sig"])
+            size = pa.array(np.diff(utf8(batch.column("text"))[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), sigs, size], ["id", "key", "sig", "bytes"])
 
-    return bounded_batches(df).select("id", "key", "text").mapInArrow(run, "id long, key binary, sig binary")
+    return bounded_batches(df).select("id", "key", "text").mapInArrow(run, "id long, key binary, sig binary, bytes long")
 
 
 def _spread(n: int, near) -> list[tuple[int, int]]:
@@ -247,7 +248,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _text_key(text).alias("key"), text.alias("text"))
     told = materialize(signatures(rows, weights), "signatures")
-    nodes = told.where(F.col("sig").isNotNull()).groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+    nodes = told.where(F.col("sig").isNotNull()).groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substr("sig", j * ROWS + 1, F.lit(ROWS))))).alias("bucket"))
     # Buckets of the same members are looked at once
@@ -260,18 +261,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     edges = parted.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_alike(least), "a long, b long")
     clusters = components(edges)
     discard(met)
-    told_of = materialize(clusters.join(nodes.select("node", "key", "id"), "node"), "clusters")
+    sized = clusters.join(nodes.select("node", "bytes"), "node")
+    sized = materialize(sized.join(sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")), "root").drop("bytes"), "clusters")
     discard(clusters)
+    told_of = sized.join(nodes.select("node", "key", "id"), "node")
     # of rows with equal id and text one is enough; a null id equals itself here
     texts = rows.where(F.col("text").isNotNull()).withColumnRenamed("id", "_id").withColumnRenamed("key", "_key")
-    with_text = told_of.join(texts, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).groupBy("root", "node").agg(F.first("text").alias("text"))
-    with_text = materialize(with_text, "cluster-texts")
-    sizes = with_text.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / cluster_block), F.ceil(F.col("bytes") / block_bytes))
-    parted = _blocked(with_text.join(sizes, "root"), blocks, "node").select(F.col("root").alias("cluster"), "part", "node", "text")
+    with_text = told_of.join(texts, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).groupBy("root", "node", "n", "all_bytes").agg(F.first("text").alias("text"))
+    blocks = F.greatest(F.ceil(F.col("n") / cluster_block), F.ceil(F.col("all_bytes") / block_bytes))
+    parted = _blocked(with_text, blocks, "node").select(F.col("root").alias("cluster"), "part", "node", "text")
     links = parted.repartition("cluster", "part").sortWithinPartitions("cluster", "part").mapInArrow(_links(similarity, weights), "a long, b long")
     found = components(links)
-    discard(told_of, with_text)
+    discard(sized)
     named = nodes.select("node", "key", "id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "named")
     discard(found, nodes)
