@@ -14,17 +14,38 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -
     return both.select(*keys, change.alias("change"))
 
 
+def newest(batch: DataFrame, keys: list[str], newer: str | None = None) -> DataFrame:
+    """One row for each key, the latest (of equal times, or without times, the greatest row), by map-side combined
+    maxima.  Null keys are equal."""
+    rest = [c for c in batch.columns if c not in (*keys, newer)]
+    order = [*([newer] if newer else []), *rest]
+    if not order:
+        return batch.distinct()
+    best = batch.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_best"))
+    return best.select(*(F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in batch.columns))
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], newer: str | None = None, strictly: bool = True) -> DataFrame:
-    """stored with incoming rows put in by their keys; with newer, only where its time is (strictly) later."""
+    """stored with incoming rows put in by their keys; with newer, only where its time is (strictly) later.
+
+    One row for each key comes out, whatever comes in: rows that share a key on one side are reduced to the newest
+    first, a null key equals itself, and a null time is earlier than any other.  One join of both sides."""
+    theirs = newest(incoming.select(*stored.columns), keys, newer)
+    mine = newest(stored, keys, newer)
+    sides = mine.select(F.struct(*mine.columns).alias("_mine"), *(F.col(k).alias(f"_m{i}") for i, k in enumerate(keys))), theirs.select(F.struct(*theirs.columns).alias("_theirs"), *(F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)))
+    same = F.lit(True)
+    for i in range(len(keys)):
+        same = same & F.col(f"_m{i}").eqNullSafe(F.col(f"_t{i}"))
+    both = sides[0].join(sides[1], same, "full_outer")
+    take = F.col("_mine").isNull()
     if newer is None:
-        return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
-    times = incoming.select(*keys, F.col(newer).alias("_theirs"))
-    later = (F.col("_theirs") > F.col(newer)) if strictly else (F.col("_theirs") >= F.col(newer))
-    kept = stored.join(times, keys, "left").where(~F.coalesce(later, F.lit(False))).drop("_theirs")
-    mine = stored.select(*keys, F.col(newer).alias("_mine"))
-    later = (F.col(newer) > F.col("_mine")) if strictly else (F.col(newer) >= F.col("_mine"))
-    taken = incoming.join(mine, keys, "left").where(F.col("_mine").isNull() | later).drop("_mine")
-    return kept.unionByName(taken.select(*kept.columns))
+        take = take | F.col("_theirs").isNotNull()
+    else:
+        new, old = F.col(f"_theirs.{newer}"), F.col(f"_mine.{newer}")
+        later = (new > old) | (new.isNotNull() & old.isNull())
+        take = take | F.coalesce(later if strictly else later | new.eqNullSafe(old) & F.col("_theirs").isNotNull(), F.lit(False))
+    out = both.select(F.when(take, F.col("_theirs")).otherwise(F.col("_mine")).alias("_row"))
+    return out.select(*(F.col(f"_row.{c}").alias(c) for c in stored.columns))
 
 
 def replace_sites(stored: DataFrame, incoming: DataFrame, site: str = "site_id", sites: DataFrame | None = None) -> DataFrame:
@@ -73,19 +94,55 @@ def failures(hosts: DataFrame, failed: DataFrame, most: int = 2) -> DataFrame:
 
 
 def integrity(strings: DataFrame, postings: DataFrame, entries: DataFrame, sites: DataFrame) -> DataFrame:
-    """(fault, n): what refers to something that is not there."""
+    """(fault, n): what refers to something that is not there.
+
+    Entries are counted by (s, site_id) and met with the postings in one outer join, and their strings and sites are
+    looked up once: each table is read once."""
+    counted = entries.groupBy("s", "site_id").agg(F.count("*").alias("n"))
+    told = counted.join(postings.select("s", "site_id").distinct().withColumn("posted", F.lit(True)), ["s", "site_id"], "full_outer")
+    told = told.join(strings.select("s").distinct().withColumn("known", F.lit(True)), "s", "left").join(sites.select("site_id").distinct().withColumn("placed", F.lit(True)), "site_id", "left")
+    n, posted = F.coalesce("n", F.lit(0)), F.col("posted").isNotNull()
     faults = {
-        "entry_without_string": entries.join(strings, "s", "left_anti"),
-        "entry_without_posting": entries.join(postings, ["s", "site_id"], "left_anti"),
-        "posting_without_entry": postings.join(entries, ["s", "site_id"], "left_anti"),
-        "posting_without_string": postings.join(strings, "s", "left_anti"),
-        "entry_without_site": entries.join(sites, "site_id", "left_anti"),
+        "entry_without_string": F.sum(F.when(F.col("known").isNull(), n)),
+        "entry_without_posting": F.sum(F.when(~posted, n)),
+        "posting_without_entry": F.count_if(posted & (n == 0)),
+        "posting_without_string": F.count_if(posted & F.col("known").isNull()),
+        "entry_without_site": F.sum(F.when(F.col("placed").isNull(), n)),
     }
-    out = None
-    for name, df in faults.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("fault"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    one = told.agg(*(F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in faults.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("fault"), F.col(k).alias("n")) for k in faults))))
+
+
+def repaired_postings(entries: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings as the entries need them: those that are missing added, those that no entry has left out."""
+    needed = entries.select("s", "site_id").distinct()
+    return postings.select("s", "site_id").distinct().join(needed, ["s", "site_id"], "left_semi").unionByName(missing_postings(entries, postings))
+
+
+def with_status(hosts: DataFrame, told: DataFrame) -> DataFrame:
+    """hosts with the status that told (host, command) asks for: activate, inactivate or delete.  A deleted host can't be
+    activated or inactivated any more; a host that told does not name stays as it is."""
+    both = hosts.join(told.select("host", "command"), "host", "left")
+    gone = F.col("status") == "deleted"
+    status = F.when(F.col("command") == "delete", "deleted").when(gone, "deleted").when(F.col("command") == "activate", "active").when(F.col("command") == "inactivate", "inactive").otherwise(F.col("status"))
+    return both.withColumn("status", status).select(*hosts.columns)
+
+
+def needing_work(hosts: DataFrame, as_of: Column, every_days: int, most_failures: int = 2) -> DataFrame:
+    """(host, work): for each host that the catalog's keeper must look at, the first reason."""
+    late = F.col("update_time") < as_of - F.make_dt_interval(F.lit(every_days))
+    work = F.when(F.col("status") == "deleted", "remove").when(F.col("status") == "disabled", None).when(F.col("force"), "forced").when(F.col("fail_count") > most_failures, "failing").when(late, "due")
+    return hosts.select("host", work.alias("work")).where("work is not null")
+
+
+def partial_send(documents: DataFrame, keywords: DataFrame, excerpts: DataFrame, since: Column) -> DataFrame:
+    """(records, excerpts): what a partial exchange sends.  Of documents changed after the time, and only of those, the
+    keywords go too, all other document records go alone; excerpts go from that very time on."""
+    newer = documents.where(F.col("rdate") > since).select("doc_id")
+    own = keywords.join(newer, "doc_id", "left_semi").agg(F.count("*").alias("keys"))
+    records = documents.agg(F.count("*").alias("docs")).crossJoin(own)  # one row each
+    sent = excerpts.agg(F.count_if(F.col("rdate") >= since).alias("excerpts"))
+    return records.crossJoin(sent).select((F.col("docs") + F.col("keys")).alias("records"), "excerpts")
 
 
 def missing_postings(entries: DataFrame, postings: DataFrame) -> DataFrame:

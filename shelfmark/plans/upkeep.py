@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import browse, refresh, stats
+from shelfmark.operators import browse, refresh, stats, web
 from shelfmark.plans.book import SHOWN_TIME, SQL_TIME, Book
 from shelfmark.plans.hosts import hosts, hosts_sql
+from shelfmark.plans.webtext import D_WORDS
 from shelfmark.sources import config
 from shelfmark.sources.catalog import FilesCatalog
 
@@ -245,11 +246,32 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return stats.chunks(FilesCatalog(spark, d).read("conversations"), "conv_id", ["turn"], "text", 1000).select("conv_id", "turn", "chunk")
 
 
-@BOOK.query("x5_partial_send", hosts_sql("SELECT count(*) AS documents, count(*) FILTER (rdate >= 5) AS excerpts FROM (SELECT doc_id % 10 AS rdate FROM documents) WHERE rdate > 5 OR rdate >= 5"))
+@BOOK.query("x5_partial_send", f"WITH k AS ({D_WORDS}) SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM k WHERE doc_id % 10 > 5) AS records, (SELECT count(*) FROM documents WHERE doc_id % 10 >= 5) AS excerpts")
 def partial_send(spark: SparkSession, d: str) -> DataFrame:
-    """x6 as well."""
-    told = FilesCatalog(spark, d).read("documents").select((F.col("doc_id") % 10).alias("rdate")).where("rdate >= 5")
-    return told.agg(F.count("*").alias("documents"), F.count_if(F.col("rdate") >= 5).alias("excerpts"))
+    """x6 as well: keywords of documents later than the time, excerpts from the time on."""
+    docs = FilesCatalog(spark, d).read("documents")
+    dated = docs.select("doc_id", (F.col("doc_id") % 10).alias("rdate"))
+    return refresh.partial_send(dated, web.keywords(docs, "doc_id", F.col("text")), dated, F.lit(5))
+
+
+@BOOK.query("e9_host_status", hosts_sql("SELECT host, CASE WHEN status = 'deleted' OR site_id % 3 = 0 THEN 'deleted' WHEN site_id % 3 = 1 THEN 'active' ELSE 'inactive' END AS status FROM hosts"))
+def host_status(spark: SparkSession, d: str) -> DataFrame:
+    """x13: hosts activated, inactivated and deleted."""
+    told = _hosts(spark, d)
+    k = F.col("site_id") % 3
+    return refresh.with_status(told, told.select("host", F.when(k == 0, "delete").when(k == 1, "activate").otherwise("inactivate").alias("command"))).select("host", "status")
+
+
+@BOOK.query("x11_needing_work", hosts_sql("SELECT * FROM (SELECT host, CASE WHEN status = 'deleted' THEN 'remove' WHEN status = 'disabled' THEN NULL WHEN force THEN 'forced' WHEN fail_count > 2 THEN 'failing' WHEN update_time < TIMESTAMP '2024-01-04 00:00:00' THEN 'due' END AS work FROM hosts) WHERE work IS NOT NULL"))
+def needing_work(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.needing_work(_hosts(spark, d), _stamp("2024-01-09 00:00:00"), 5)
+
+
+@BOOK.query("q15_repaired_postings", hosts_sql("SELECT DISTINCT s, site_id FROM f_entries", _SNAP))
+def repaired_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The postings of an older snapshot, as the entries need them."""
+    c = FilesCatalog(spark, d)
+    return refresh.repaired_postings(c.entries, _snapshots(c)[0].select("s", "site_id"))
 
 
 @BOOK.query("x23_surrogates", hosts_sql("SELECT n_name, dense_rank() OVER (ORDER BY n_name)::INTEGER AS id FROM nation"))

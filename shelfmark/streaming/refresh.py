@@ -11,20 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfmark.operators.refresh import upsert
 
 
-def newest(batch: DataFrame, keys: list[str], newer: str) -> DataFrame:
-    """One row for each key, the latest (of equal times the greatest row), by map-side combined maxima."""
-    rest = [c for c in batch.columns if c not in (*keys, newer)]
-    best = batch.groupBy(*keys).agg(F.max(F.struct(newer, *rest)).alias("_best"))
-    return best.select(*keys, *(F.col(f"_best.{c}").alias(c) for c in (newer, *rest))).select(*batch.columns)
-
-
 def refresh_stream(incoming: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], keys: list[str], newer: str, checkpoint: str) -> StreamingQuery:
     """Upsert every micro-batch into a stored table: later times win, late and repeated rows change nothing.
 
     write gets the batch number and must publish under it, so that a batch that runs again replaces its own result."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        write(upsert(read(), newest(batch, keys, newer), keys, newer), number)
+        write(upsert(read(), batch, keys, newer), number)
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -343,3 +343,50 @@ def test_every_link_is_joined(spark):
     told = registry.queries()["f11_all_links"](spark, SF).collect()
     assert any(not re.fullmatch("/[A-Za-z]+", x) for _, x in found)
     assert sorted((r.page_id, r.href, r.target) for r in told) == sorted((k, x, rooted(want(pages[k].url, x))) for k, x in found)
+
+
+def test_upsert_gives_one_row_a_key(spark):
+    """Repeated and null keys on either side, and null times."""
+    from shelfmark.operators import refresh
+
+    schema = "k long, at long, v string"
+    stored = spark.createDataFrame([(1, 5, "s1"), (2, 5, "s2"), (2, 3, "old"), (None, 5, "sn"), (4, None, "s4")], schema)
+    incoming = spark.createDataFrame([(1, 6, "a"), (1, 7, "b"), (1, 7, "a"), (2, 5, "same"), (None, 9, "n1"), (None, 8, "n2"), (3, 1, "new"), (3, 1, "new"), (4, 1, "timed")], schema)
+    got = lambda *how, **more: {r.k: (r["at"], r.v) for r in refresh.upsert(stored, incoming, ["k"], *how, **more).collect()}
+    later = {1: (7, "b"), 2: (5, "s2"), None: (9, "n1"), 3: (1, "new"), 4: (1, "timed")}
+    assert got("at") == later and refresh.upsert(stored, incoming, ["k"], "at").count() == 5
+    assert got("at", strictly=False) == later | {2: (5, "same")}
+    assert got() == {1: (7, "b"), 2: (5, "same"), None: (9, "n1"), 3: (1, "new"), 4: (1, "timed")}
+    assert refresh.upsert(refresh.upsert(stored, incoming, ["k"], "at"), incoming, ["k"], "at").count() == 5
+
+
+def test_hosts_change_status_and_need_work(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.operators import refresh
+
+    hosts = spark.createDataFrame([("a", "active"), ("b", "inactive"), ("c", "deleted"), ("d", "active")], "host string, status string")
+    told = spark.createDataFrame([("a", "inactivate"), ("b", "activate"), ("c", "activate"), ("d", "delete")], "host string, command string")
+    assert {r.host: r.status for r in refresh.with_status(hosts, told).collect()} == {"a": "inactive", "b": "active", "c": "deleted", "d": "deleted"}
+    rows = [("a", "active", True, 0, "2024-01-01"), ("b", "active", False, 3, "2024-01-01"), ("c", "active", False, 0, "2024-01-01"), ("d", "active", False, 0, "2024-01-30"), ("e", "deleted", True, 9, "2024-01-30"), ("f", "disabled", True, 9, "2024-01-01")]
+    df = spark.createDataFrame(rows, "host string, status string, force boolean, fail_count int, t string").withColumn("update_time", F.to_timestamp_ntz("t"))
+    work = {r.host: r.work for r in refresh.needing_work(df, F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")), 10).collect()}
+    assert work == {"a": "forced", "b": "failing", "c": "due", "e": "remove"}
+
+
+def test_a_partial_send_keeps_keywords_of_newer_documents_only(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.operators import refresh
+
+    docs = spark.createDataFrame([(1, 4), (2, 5), (3, 6)], "doc_id long, rdate long")
+    keys = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (3, "x"), (3, "z")], "doc_id long, key string")
+    assert refresh.partial_send(docs, keys, docs, F.lit(5)).first()[:] == (3 + 2, 2)
+
+
+def test_postings_are_repaired(spark):
+    from shelfmark.operators import refresh
+
+    entries = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "s string, site_id long")
+    postings = spark.createDataFrame([("a", 1), ("z", 9)], "s string, site_id long")
+    assert sorted(map(tuple, refresh.repaired_postings(entries, postings).collect())) == [("a", 1), ("b", 2)]
