@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,15 +116,28 @@ def join_url(base: Column, link: Column) -> Column:
     return told.otherwise(F.concat(root, resolve_path(path), query))
 
 
-#: Entities of HTML text and their characters (fixed values: markup's own, and those of Latin-1 punctuation in use).
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&reg;": "®", "&laquo;": "«", "&raquo;": "»", "&szlig;": "ß", "&eacute;": "é", "&agrave;": "à", "&uuml;": "ü", "&ouml;": "ö", "&auml;": "ä", "&ccedil;": "ç", "&ntilde;": "ñ"}
+#: Named entities of HTML text and their characters: those of HTML 4, the apostrophe's; a hard space counts as a space.
+ENTITIES = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'", "&nbsp;": " "}
+
+#: A text in pieces: references, the text between them, ampersands of no reference.
+ENTITY_PIECES = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]{0,31};|[^&]+|&"
+
+
+def code_point(n: Column) -> Column:
+    """The character of a Unicode number; null for those of no character."""
+    valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
 
 def decode_entities(c: Column) -> Column:
-    """Named entities to characters; the ampersand's own comes last, so that nothing is decoded twice."""
-    for name, ch in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(ch))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    """Named, decimal and hexadecimal entities to characters, each once; unknown ones stay as written."""
+    known = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def told(piece: Column) -> Column:
+        number = F.when(piece.rlike("^&#[xX]"), F.conv(F.regexp_extract(piece, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(piece, "([0-9]+);", 1))
+        return F.when(piece.startswith("&#"), F.coalesce(code_point(number.try_cast("long")), piece)).when(piece.startswith("&"), F.coalesce(F.try_element_at(known, piece), piece)).otherwise(piece)
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(ENTITY_PIECES), F.lit(0)), told), "")
 
 
 def perms_text(perms: Column, is_dir: Column | None = None) -> Column:
@@ -165,6 +180,11 @@ def compact_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMddHHmmss")
 
 
+def vms_time(ts: Column) -> Column:
+    """Day, month's name, year and time, as VMS listings show them."""
+    return F.date_format(ts, "dd-MMM-yyyy HH:mm")
+
+
 def parse_compact(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss"))
 

@@ -35,9 +35,20 @@ def changed_headings(rows: DataFrame, column: str, order: list[str], group: list
     return rows.withColumn("heading", ~F.lag(column).over(Window.partitionBy(*group).orderBy(*order)).eqNullSafe(F.col(column)))
 
 
-def pages_by_host(pages: DataFrame) -> DataFrame:
-    """URLs and bytes of each host, and of all together (hostname null)."""
-    return pages.rollup(url_host(F.col("url")).alias("hostname")).agg(F.count("*").alias("urls"), F.sum(F.octet_length("html")).alias("bytes"))
+def pages_by_host(pages: DataFrame, keywords: DataFrame) -> DataFrame:
+    """URLs, indexed URLs, their keywords and bytes, of each host and of all together (hostname null).
+
+    A page is indexed if it has keywords: (page_id, key), once each."""
+    keys = keywords.groupBy("page_id").agg(F.count("*").alias("keys"))
+    told = pages.select("page_id", url_host(F.col("url")).alias("hostname"), F.octet_length("html").alias("size")).join(keys, "page_id", "left")
+    indexed = F.when(F.col("keys").isNotNull(), F.col("size"))
+    return told.rollup("hostname").agg(F.count("*").alias("urls"), F.count("keys").alias("indexed_urls"), F.coalesce(F.sum("keys"), F.lit(0)).alias("keywords"), F.coalesce(F.sum(indexed), F.lit(0)).alias("bytes"))
+
+
+def dictionary(keywords: DataFrame) -> DataFrame:
+    """Keyword records, different keywords, and the bytes of the latter as stored, each with its end."""
+    keys = keywords.groupBy("key").agg(F.count("*").alias("n"))
+    return keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("*").alias("unique_keywords"), F.coalesce(F.sum(F.octet_length("key") + 1), F.lit(0)).alias("bytes"))
 
 
 def request_cost(kind: Column, costs: dict[str, int], pages_before: Column, other: int = 1) -> Column:

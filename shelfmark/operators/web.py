@@ -38,9 +38,21 @@ def documents(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", sc.url_host(F.col("url")).alias("hostname"), sc.url_port(F.col("url")).alias("port"), sc.url_path(F.col("url")).alias("path"), title(F.col("html")).alias("title"), excerpt(F.col("html")).alias("excerpt"))
 
 
+_ATTRIBUTE = r"""\s(?:[^>]*?[\s"'])?{}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+HREF = "(?i)<(?:a|area|frame)" + _ATTRIBUTE.format("(?:href|src)")
+BASE = "(?i)<base" + _ATTRIBUTE.format("href")
+QUOTES = """^["']|["']$"""
+
+
 def hrefs(html: Column) -> Column:
-    """Targets of anchors, areas and frames, as written."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<(?:a|area|frame)\s[^>]*?(?:href|src)="([^"]*)"'), F.lit(1))
+    """Targets of anchors, areas and frames, as written, in quotes of either kind or in none."""
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda x: F.regexp_replace(x, QUOTES, ""))
+
+
+def base_url(url: Column, html: Column) -> Column:
+    """What a page's links are seen from: its base element's address, else its own."""
+    given = F.trim(sc.decode_entities(F.regexp_replace(F.regexp_extract(html, BASE, 1), QUOTES, "")))
+    return F.when(given != "", sc.join_url(url, given)).otherwise(url)
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -50,8 +62,8 @@ def links(pages: DataFrame) -> DataFrame:
 
 def joined_links(pages: DataFrame) -> DataFrame:
     """(page_id, href, target): every link as written, and its URL seen from the page."""
-    told = pages.select("page_id", "url", F.explode(hrefs(F.col("html"))).alias("href"))
-    return told.select("page_id", "href", sc.join_url(F.col("url"), sc.decode_entities(F.col("href"))).alias("target"))
+    told = pages.select("page_id", base_url(F.col("url"), F.col("html")).alias("base"), F.explode(hrefs(F.col("html"))).alias("href"))
+    return told.select("page_id", "href", sc.join_url(F.col("base"), F.trim(sc.decode_entities(F.col("href")))).alias("target"))
 
 
 def external_hosts(linked: DataFrame, sites: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from shelfmark.operators import browse, refresh, stats, web
 from shelfmark.plans.book import SHOWN_TIME, SQL_TIME, Book
 from shelfmark.plans.hosts import hosts, hosts_sql
-from shelfmark.plans.webtext import D_WORDS
+from shelfmark.plans.markup import HOST
+from shelfmark.plans.webtext import D_WORDS, W_WORDS
 from shelfmark.sources import config
 from shelfmark.sources.catalog import FilesCatalog
 
@@ -195,9 +196,17 @@ def files_by_site(spark: SparkSession, d: str) -> DataFrame:
     return stats.files_by_site(FilesCatalog(spark, d).entries)
 
 
-@BOOK.query("a9_web_statistics", "SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) AS hostname, count(*) AS urls, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY ROLLUP (1)")
+@BOOK.query("a9_web_statistics", f"WITH k AS (SELECT page_id, count(*) AS keys FROM ({W_WORDS}) GROUP BY page_id) SELECT {HOST.format('url')} AS hostname, count(*) AS urls, count(keys) AS indexed_urls, coalesce(sum(keys), 0)::BIGINT AS keywords, coalesce(sum(CASE WHEN keys IS NOT NULL THEN strlen(html) END), 0)::BIGINT AS bytes FROM pages LEFT JOIN k USING (page_id) GROUP BY ROLLUP (1)")
 def web_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return stats.pages_by_host(FilesCatalog(spark, d).read("pages"))
+    """q14 as well."""
+    pages = FilesCatalog(spark, d).read("pages")
+    return stats.pages_by_host(pages, web.keywords(pages, "page_id", web.plain_text(F.col("html"))))
+
+
+@BOOK.query("a9_dictionary", f"SELECT coalesce(sum(n), 0)::BIGINT AS records, count(*) AS unique_keywords, coalesce(sum(strlen(key) + 1), 0)::BIGINT AS bytes FROM (SELECT key, count(*) AS n FROM ({W_WORDS}) GROUP BY key)")
+def dictionary(spark: SparkSession, d: str) -> DataFrame:
+    pages = FilesCatalog(spark, d).read("pages")
+    return stats.dictionary(web.keywords(pages, "page_id", web.plain_text(F.col("html"))))
 
 
 @BOOK.query("a13_record_counts", hosts_sql("SELECT site_id, count(*) AS n, count(o.s) AS stored, count(*) = count(o.s) AS agrees FROM f_entries LEFT JOIN o USING (site_id, dir_id, s) GROUP BY site_id", _SNAP))

@@ -9,6 +9,7 @@ from shelfmark.functions import match
 from shelfmark.functions import scalars as sc
 from shelfmark.plans.book import SHOWN_TIME, SQL_TIME, Book
 from shelfmark.plans.hosts import hosts, hosts_sql
+from shelfmark.plans.markup import decoded
 from shelfmark.sources import config, listings
 from shelfmark.sources.catalog import FilesCatalog
 
@@ -68,7 +69,7 @@ def quotes(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "events").select("event_id", quoted.alias("quoted"), sc.unescape_quotes(quoted).alias("back"))
 
 
-@BOOK.query("f12_entities", "SELECT page_id, md5(" + "replace(" * (len(sc.ENTITIES) + 1) + "html" + "".join(f", '{k}', '{v}')" for k, v in [*sc.ENTITIES.items(), ("&amp;", "&")]) + ") AS decoded FROM pages")
+@BOOK.query("f12_entities", f"SELECT page_id, md5({decoded('html')}) AS decoded FROM pages")
 def entities(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", F.md5(sc.decode_entities(F.col("html"))).alias("decoded"))
 
@@ -102,6 +103,11 @@ def same_items(spark: SparkSession, d: str) -> DataFrame:
 _BITS = " || ".join(f"CASE WHEN p & {1 << (8 - i)} <> 0 THEN '{'rwx'[i % 3]}' ELSE '-' END" for i in range(9))
 
 
+@BOOK.query("f16_vms_dates", "SELECT event_id, strftime(ts, '%d-%b-%Y %H:%M') AS shown FROM events")
+def vms_dates(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select("event_id", sc.vms_time(F.col("ts")).alias("shown"))
+
+
 @BOOK.query("f13_permissions", f"SELECT l_orderkey, p, {_BITS} AS shown, p AS back FROM (SELECT DISTINCT l_orderkey, (l_orderkey % 512)::INTEGER AS p FROM lineitem)")
 def permissions(spark: SparkSession, d: str) -> DataFrame:
     """f14: bits to text and back."""

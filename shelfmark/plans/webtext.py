@@ -11,6 +11,7 @@ from shelfmark.operators import search as find
 from shelfmark.operators import web
 from shelfmark.plans import boolean
 from shelfmark.plans.book import Book
+from shelfmark.plans.markup import HOST, LINKS, TARGETS, decoded
 from shelfmark.sources.catalog import FilesCatalog
 
 BOOK = Book()
@@ -20,29 +21,23 @@ _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1))
 _PATH = r"CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) END"
 
 
-def _decode(sql: str) -> str:
-    for name, ch in sc.ENTITIES.items():
-        ch = ch.replace("'", "''")
-        sql = f"replace({sql}, '{name}', '{ch}')"
-    return f"replace({sql}, '&amp;', '&')"
-
-
-_PLAIN = _decode("regexp_replace(regexp_replace({}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")
+def _plain(sql: str) -> str:
+    return decoded(f"regexp_replace(regexp_replace({sql}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")
 
 
 def _collapsed(sql: str) -> str:
     return f"trim(regexp_replace({sql}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
 
 
-_TITLE = f"substr({_collapsed(_decode("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))}, 1, 127)"
-_EXCERPT = f"substr({_collapsed(_PLAIN.format("regexp_replace(html, '(?is)^.*?</title>', '')"))}, 1, 511)"
+_TITLE = f"substr({_collapsed(decoded("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))}, 1, 127)"
+_EXCERPT = f"substr({_collapsed(_plain("regexp_replace(html, '(?is)^.*?</title>', '')"))}, 1, 511)"
 
 
 def _words(table: str, doc: str, text: str) -> str:
     return f"SELECT {doc}, key, count(*) AS num FROM (SELECT {doc}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+(?:-[\\p{{L}}\\p{{N}}]+)*')) AS key FROM {table}) WHERE length(key) <= 50 AND len(regexp_extract_all(key, '[^\\x00-\\x7F]')) * 4 <= length(key) AND key NOT IN ({_STOP}) GROUP BY {doc}, key"
 
 
-D_WORDS, W_WORDS = _words("documents", "doc_id", "text"), _words("pages", "page_id", _PLAIN.format("html"))
+D_WORDS, W_WORDS = _words("documents", "doc_id", "text"), _words("pages", "page_id", _plain("html"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +51,7 @@ def _doc_words(spark: SparkSession, d: str) -> DataFrame:
 # Pages and links
 
 
-@BOOK.query("s24_links", "SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:a|area|frame)\\s[^>]*?(?:href|src)=\"([^\"]*)\"', 1)) AS href FROM pages")
+@BOOK.query("s24_links", f"SELECT page_id, href FROM ({LINKS})")
 def links(spark: SparkSession, d: str) -> DataFrame:
     return web.links(_pages(spark, d))
 
@@ -76,17 +71,19 @@ def url_tree(spark: SparkSession, d: str) -> DataFrame:
     return web.url_tree(_pages(spark, d))
 
 
-@BOOK.query("e17_external_hosts", f"SELECT DISTINCT {_HOST} AS hostname FROM pages WHERE url LIKE 'http:%' AND {_HOST} NOT IN (SELECT {_HOST} FROM pages WHERE url LIKE 'https:%')")
+@BOOK.query("e17_external_hosts", f"SELECT DISTINCT hostname FROM (SELECT {HOST.format('target')} AS hostname FROM ({TARGETS})) WHERE hostname <> '' AND hostname NOT IN (SELECT {_HOST} FROM pages WHERE url LIKE 'https:%')")
 def external_hosts(spark: SparkSession, d: str) -> DataFrame:
-    """Hosts that links lead to (here: by plain http) and that are no site yet (those reached by https are)."""
-    pages = _pages(spark, d).select("url", sc.url_host(F.col("url")).alias("hostname"))
-    return web.external_hosts(pages.where("url like 'http:%'"), pages.where("url like 'https:%'"))
+    """Hosts that links lead to and that are no site yet (here: those of https pages are)."""
+    pages = _pages(spark, d)
+    linked = web.joined_links(pages).select(sc.url_host(F.col("target")).alias("hostname"))
+    return web.external_hosts(linked, pages.where("url like 'https:%'").select(sc.url_host(F.col("url")).alias("hostname")))
 
 
-@BOOK.query("s22_frontier", "SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE url LIKE 'https:%')")
+@BOOK.query("s22_frontier", f"SELECT DISTINCT target AS url FROM ({TARGETS}) WHERE target NOT IN (SELECT url FROM pages WHERE url LIKE 'https:%')")
 def frontier(spark: SparkSession, d: str) -> DataFrame:
+    """What the pages' links lead to and was not visited yet (here: https pages were)."""
     pages = _pages(spark, d)
-    return web.frontier(pages.select("url").union(pages.select("url")), pages.where("url like 'https:%'"))
+    return web.frontier(web.joined_links(pages).select(F.col("target").alias("url")), pages.where("url like 'https:%'"))
 
 
 # Rules on URLs and documents
@@ -243,15 +240,14 @@ def canonical_url(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", sc.canonical_url(F.col("url")).alias("url"))
 
 
-@BOOK.query("f11_joined_links", f"WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<(?:a|area|frame)\\s[^>]*?(?:href|src)=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT page_id, href, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS target FROM l WHERE regexp_matches(href, '^/[A-Za-z]+$')")
+@BOOK.query("f11_joined_links", TARGETS)
 def joined_links(spark: SparkSession, d: str) -> DataFrame:
-    """Of f11_all_links the part that plain SQL can join."""
-    return all_links(spark, d).where(F.col("href").rlike("^/[A-Za-z]+$"))
+    return web.joined_links(_pages(spark, d))
 
 
 @BOOK.query("f11_all_links")
 def all_links(spark: SparkSession, d: str) -> DataFrame:
-    """Every link and what it leads to; SQL has no relative joins, so tests hold it against urllib."""
+    """As f11_joined_links; tests hold it against urllib, for dot segments and base elements are not in the SQL."""
     return web.joined_links(_pages(spark, d))
 
 

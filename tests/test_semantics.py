@@ -345,6 +345,28 @@ def test_every_link_is_joined(spark):
     assert sorted((r.page_id, r.href, r.target) for r in told) == sorted((k, x, rooted(want(pages[k].url, x))) for k, x in found)
 
 
+def test_entities_are_decoded_once(spark):
+    """Against the standard library, but for the hard space, references without a semicolon and numbers of no character."""
+    from html import unescape
+
+    texts = ["", "plain", "&#233;&#xE9;&eacute;", "&amp;lt; &amp;#233;", "&#128512;&#x1F600;x", "&&amp;& a&b; &unknown; &;", "&Eacute;&thorn;&apos;&alpha;&rarr;", "a\n&quot;b&quot;\n", "x" * 5000 + "&euro;" * 5000]
+    rows = [(k, x) for k, x in enumerate(texts)] + [(100, None), (101, "&#0;&#xD800;&#1114112;&#99999999;"), (102, "a&nbsp;b")]
+    df = spark.createDataFrame(rows, "k int, s string").select("k", sc.decode_entities(F.col("s")).alias("s"))
+    got = {r.k: r.s for r in df.collect()}
+    assert {k: got[k] for k in range(len(texts))} == {k: unescape(x) for k, x in enumerate(texts)}
+    assert got[100] is None and got[101] == rows[-2][1] and got[102] == "a b"
+
+
+def test_links_in_any_quotes_and_base_elements(spark):
+    html = """<BASE target=_top href='/docs/'><a class=x href = 'one'>1</a><A HREF=two.html>2</A><area data-href="no" href= "three#f"><frame src=four><a name="href">5</a><a title="a"href="six">6</a>"""
+    rows = [(1, "http://h.example/x/y", html), (2, "http://h.example/x/y", "<a href=one>1</a>"), (3, "http://h.example/x/y", None), (4, "http://h.example/x/y", '<base href="http://o.example/z/"><a href="one&amp;two">')]
+    got = web.joined_links(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert sorted((r.page_id, r.href, r.target) for r in got) == [
+        (1, "four", "http://h.example/docs/four"), (1, "one", "http://h.example/docs/one"), (1, "six", "http://h.example/docs/six"), (1, "three#f", "http://h.example/docs/three"),
+        (1, "two.html", "http://h.example/docs/two.html"), (2, "one", "http://h.example/x/one"), (4, "one&amp;two", "http://o.example/z/one&two"),
+    ]
+
+
 def test_upsert_gives_one_row_a_key(spark):
     """Repeated and null keys on either side, and null times."""
     from shelfmark.operators import refresh
