@@ -21,6 +21,8 @@ ORDER = ["s", "site_id", "dir_id"]
 
 #: Greatest values of requests, and defaults: hits, strings, hits for each string (fixed values of the service).
 LIMITS = {"hits": (100, 10_000), "matches": (100, 1_000), "per_match": (20, 100)}
+#: Hits that one task may number; the greatest request of LIMITS asks for that many.
+MOST_TAKEN = 100_000
 
 
 @dataclass(frozen=True)
@@ -59,13 +61,21 @@ def results(catalog: FilesCatalog, strings: DataFrame, domains: Sequence[str] =
 
 
 def capped(hits: DataFrame, matches: int | None = None, per_match: int | None = None, limit: int | None = None, order: Sequence[str] = ORDER) -> DataFrame:
-    """The three caps: strings in string order, hits of each string, hits in all."""
-    if matches is not None:
+    """The three caps: strings in string order, hits of each string, hits in all.
+
+    With both of the first two the strings kept are among the first matches * per_match hits in string order, so one
+    pass over the hits finds them, and their numbering sees no more rows than that.  Without the second, or with so many
+    that one task should not hold them, the strings are found first and joined."""
+    by_string = [c for c in order if c != "s"]
+    if matches is not None and (per_match is None or matches * per_match > MOST_TAKEN):
         kept = hits.select("s").distinct().orderBy("s").limit(matches)
-        hits = hits.join(kept, "s", "left_semi")
+        hits, matches = hits.join(kept, "s", "left_semi"), None
     if per_match is not None:
-        rank = F.row_number().over(Window.partitionBy("s").orderBy(*[c for c in order if c != "s"]))
+        rank = F.row_number().over(Window.partitionBy("s").orderBy(*by_string))
         hits = hits.withColumn("_rank", rank).where(F.col("_rank") <= per_match).drop("_rank")
+    if matches is not None:
+        first = hits.orderBy("s", *by_string).limit(matches * per_match)
+        hits = first.withColumn("_number", F.dense_rank().over(Window.orderBy("s"))).where(F.col("_number") <= matches).drop("_number")
     return hits if limit is None else hits.orderBy(*order).limit(limit)
 
 

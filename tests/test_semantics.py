@@ -135,6 +135,30 @@ def test_caps_are_hard_and_clamped(spark):
 # Trees, domains, addresses
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+@pytest.mark.parametrize("caps", [(3, 2, None), (3, 2, 4), (50, 2, None), (3, 50, None), (3, None, 5), (None, 2, 5), (1, 1, 1)])
+def test_caps_in_one_pass_or_two(spark, monkeypatch, most, caps):
+    """Both ways of capping against a loop; names of one hit, of many, and repeated in no order."""
+    monkeypatch.setattr(find, "MOST_TAKEN", most)
+    rows = [(s, site, site % 3) for s, n in (("d", 1), ("a", 4), ("c", 2), ("b", 7), ("É", 1)) for site in range(n)]
+    random.Random(3).shuffle(rows)
+    matches, per_match, limit = caps
+    expected = []
+    for s in sorted({r[0] for r in rows}, key=str.encode)[:matches]:
+        expected += sorted(r for r in rows if r[0] == s)[:per_match]
+    hits = spark.createDataFrame(rows, "s string, site_id long, dir_id long")
+    found = [tuple(r) for r in find.capped(hits, matches, per_match, limit).collect()]
+    assert sorted(found) == sorted(expected[:limit])
+
+
+def test_capped_search_reads_the_postings_once(spark):
+    catalog = FilesCatalog(spark, SF)
+    path = F.col("path")
+    one = find.results(catalog, catalog.strings, path=path != "")
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(find.capped(one, 10, 5, 20)) == scans(one) > 0
+
+
 def test_tree_paths(spark):
     tree = spark.createDataFrame([(1, 0, None, "a"), (1, 1, 0, "b"), (1, 2, 1, "c"), (2, 0, None, "z")], "tree_id int, node_id int, parent_id int, name string")
     assert sorted((r.tree_id, r.path, r.depth) for r in browse.tree_paths(tree).collect()) == [(1, "/a", 0), (1, "/a/b", 1), (1, "/a/b/c", 2), (2, "/z", 0)]
