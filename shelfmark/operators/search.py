@@ -162,3 +162,20 @@ def sort_keys(name: str) -> list[Column]:
 
 def sorted_results(hits: DataFrame, name: str) -> DataFrame:
     return hits.orderBy(*sort_keys(name))
+
+
+def index_points(strings: DataFrame, words: bool = False) -> DataFrame:
+    """strings (s, each once) to (s, start): the places, from 0, at which a name is found: all of its characters, or
+    only those where a word begins.  Empty names have none.
+
+    A word's place is the running length of what stands before it, so long names cost no more for each character."""
+    if not words:
+        return strings.where("s != ''").select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.char_length("s").cast("long") - 1)).alias("start"))
+    parts = strings.select("s", F.posexplode(F.regexp_extract_all("s", F.lit(r"[^\p{L}\p{N}]*[\p{L}\p{N}]+"), F.lit(0))).alias("pos", "part"))
+    end = F.sum(F.char_length("part")).over(Window.partitionBy("s").orderBy("pos"))
+    return parts.select("s", (end - F.char_length(F.regexp_extract("part", r"[\p{L}\p{N}]+$", 0))).alias("start"))
+
+
+def found_at(points: DataFrame, key: str) -> DataFrame:
+    """Names that go on with the key from one of their index points."""
+    return points.where(F.substr("s", (F.col("start") + 1).cast("int"), F.char_length(F.lit(key))) == key).select("s").distinct()

@@ -385,3 +385,23 @@ for _name, _sql in {
     "key_values": f"'STRING=' || s || chr(10) || 'SITE=' || hostname || chr(10) || 'PATH=' || path || chr(10) || 'SIZE=' || {_SIZE} || chr(10) || 'DATE=' || strftime(mtime, '%Y%m%d%H%M%S')",
 }.items():
     _format(_name, _sql)
+
+
+# Index points
+
+_IS_WORD = "regexp_matches(s[{}], '[\\p{{L}}\\p{{N}}]')"
+
+
+@BOOK.files("u1_word_points", f"SELECT s, unnest(list_filter(range(length(s)), lambda i: {_IS_WORD.format('i + 1')} AND (i = 0 OR NOT {_IS_WORD.format('i')}))) AS start FROM f_strings")
+def word_points(spark: SparkSession, d: str) -> DataFrame:
+    return find.index_points(FilesCatalog(spark, d).strings, words=True)
+
+
+@BOOK.files("u1_found_at_words", "SELECT s FROM f_strings WHERE regexp_matches(s, '(^|[^\\p{L}\\p{N}])an')")
+def found_at_words(spark: SparkSession, d: str) -> DataFrame:
+    return find.found_at(find.index_points(FilesCatalog(spark, d).strings, words=True), "an")
+
+
+@BOOK.files("u1_found_at_characters", "SELECT s FROM f_strings WHERE contains(s, 'an')")
+def found_at_characters(spark: SparkSession, d: str) -> DataFrame:
+    return find.found_at(find.index_points(FilesCatalog(spark, d).strings), "an")

@@ -436,3 +436,12 @@ def test_postings_are_repaired(spark):
     entries = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "s string, site_id long")
     postings = spark.createDataFrame([("a", 1), ("z", 9)], "s string, site_id long")
     assert sorted(map(tuple, refresh.repaired_postings(entries, postings).collect())) == [("a", 1), ("b", 2)]
+
+
+def test_index_points_of_odd_names(spark):
+    names = ["", "a", "--", "-a--bc1", "É x\U0001d7d8", "word" * 500 + ".end"]
+    told = strings(spark, *names, None)
+    for words in (False, True):
+        found = {(r.s, r.start) for r in find.index_points(told, words).collect()}
+        assert found == {(s, i) for s in names for i in range(len(s)) if not words or (s[i].isalnum() and (i == 0 or not s[i - 1].isalnum()))}
+    assert column(find.found_at(find.index_points(told, words=True), "x"), "s") == ["É x\U0001d7d8"]
