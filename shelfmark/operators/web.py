@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,23 +108,47 @@ def keyword_lists(counts: DataFrame, doc: str) -> DataFrame:
     return counts.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list("key")), " ").alias("keys"))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
 def keywords(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:
     """(doc, key, num): how often each keyword stands in a text, in lower case, without stop words and odd words."""
-    words = texts.select(doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("key"))
+    words = texts.select(doc, F.explode(_words(text)).alias("key"))
     return words.where(valid_keyword(F.col("key")) & ~F.col("key").isin(list(stop_words))).groupBy(doc, "key").agg(F.count("*").alias("num"))
 
 
-def weights(counts: DataFrame, doc: str, stem: Column | None = None, least_sites: int = 10) -> DataFrame:
-    """counts (doc, key, num) with weight: the stem's share of the document's keywords, times the logarithm of how rare
-    the stem is; the share alone while there are fewer than least_sites documents.
+def by_document(texts: DataFrame, doc: str) -> DataFrame:
+    """texts dealt by document, so that counting, totals and stems of a document need no further shuffle.
+
+    The number of parts is the session's and stays: a part's rows grow a hundredfold when texts become words."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc)
+
+
+def count_indexed(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:
+    """(n_docs), one row: how many documents have a keyword.
+
+    A word of ASCII letters alone tells it for nearly all, at its first place; other texts are split into words."""
+    stops = "|".join(re.escape(w) for w in stop_words) or "(?!)"
+    plain = rf"(?i)(?<![\p{{L}}\p{{N}}-])(?!(?:{stops})(?![a-z]))[a-z]{{1,50}}(?![\p{{L}}\p{{N}}-])"
+    every = F.exists(_words(text), lambda w: valid_keyword(w) & ~w.isin(list(stop_words)))
+    return texts.where(F.when(text.rlike(plain), True).otherwise(every)).agg(F.countDistinct(doc).alias("n_docs"))
+
+
+def weights(counts: DataFrame, doc: str, stem: Column | None = None, least_sites: int = 10, n_docs: DataFrame | None = None) -> DataFrame:
+    """counts (doc, key, num), a key once for a document, with weight: the stem's share of the document's keywords,
+    times the logarithm of how rare the stem is; the share alone while there are fewer than least_sites documents.
 
-    Document frequencies are counted per stem and joined back; the number of documents is one row."""
-    told = counts.withColumn("stem", F.col("key") if stem is None else stem)
-    per_doc = Window.partitionBy(doc)
-    told = told.withColumn("total", F.sum("num").over(per_doc)).withColumn("stem_sum", F.sum("num").over(Window.partitionBy(doc, "stem")))
-    rare = told.groupBy("stem").agg(F.countDistinct(doc).alias("stem_docs"))
-    size = told.agg(F.countDistinct(doc).alias("n_docs"))
-    out = told.join(rare, "stem").crossJoin(F.broadcast(size))  # one row
+    Windows over documents and stems read the counts once; n_docs is one row, counted from counts where none is given."""
+    size = counts.agg(F.countDistinct(doc).alias("n_docs")) if n_docs is None else n_docs
+    told = counts.withColumn("total", F.sum("num").over(Window.partitionBy(doc)))
+    if stem is None:
+        told = told.select("*", F.col("key").alias("stem"), F.col("num").alias("stem_sum"), F.lit(1).alias("_first"))
+    else:
+        of_stem = Window.partitionBy(doc, "stem").orderBy("key")
+        told = told.withColumn("stem", stem).withColumn("_first", (F.row_number().over(of_stem) == 1).cast("int"))
+        told = told.withColumn("stem_sum", F.sum("num").over(of_stem.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    out = told.withColumn("stem_docs", F.sum("_first").over(Window.partitionBy("stem"))).drop("_first").crossJoin(F.broadcast(size))  # one row
     share = F.col("stem_sum") / F.col("total")
     return out.withColumn("weight", F.when(F.col("n_docs") < least_sites, share).otherwise(share * F.log10(F.col("n_docs") / F.col("stem_docs"))))
 

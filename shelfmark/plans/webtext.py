@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import match, porter
@@ -161,21 +161,27 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 _WEIGHTS = f"WITH c AS ({D_WORDS}), t AS (SELECT *, sum(num) OVER (PARTITION BY doc_id) AS total FROM c), f AS (SELECT key, count(*) AS docs FROM c GROUP BY key), n AS (SELECT count(DISTINCT doc_id) AS n FROM c) SELECT doc_id, key, round(CASE WHEN n < 10 THEN num / total ELSE num / total * log10(n / docs) END, 6) AS weight FROM t JOIN f USING (key), n"
 
 
+def _weighted(spark: SparkSession, d: str, stem: Column | None = None) -> DataFrame:
+    docs = FilesCatalog(spark, d).read("documents").select("doc_id", "text")
+    counts = web.keywords(web.by_document(docs, "doc_id"), "doc_id", F.col("text"))
+    return web.weights(counts, "doc_id", stem, n_docs=web.count_indexed(docs, "doc_id", F.col("text")))
+
+
 @BOOK.query("a4_weights", _WEIGHTS)
 def weights(spark: SparkSession, d: str) -> DataFrame:
-    return web.weights(_doc_words(spark, d), "doc_id").select("doc_id", "key", F.round("weight", 6).alias("weight"))
+    return _weighted(spark, d).select("doc_id", "key", F.round("weight", 6).alias("weight"))
 
 
 @BOOK.query("w3_top_keywords", f"SELECT doc_id, key, weight FROM ({_WEIGHTS}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, key) <= 500")
 def top_keywords(spark: SparkSession, d: str) -> DataFrame:
-    weighted = web.weights(_doc_words(spark, d), "doc_id").withColumn("weight", F.round("weight", 6))
+    weighted = _weighted(spark, d).withColumn("weight", F.round("weight", 6))
     return web.top_keywords(weighted, "doc_id", 500).select("doc_id", "key", "weight")
 
 
 @BOOK.query("a3_stem_sums")
 def stem_sums(spark: SparkSession, d: str) -> DataFrame:
     """e13: stems by Porter's rules; tests hold them against published pairs."""
-    return web.weights(_doc_words(spark, d), "doc_id", porter.stem_column(F.col("key"))).select("doc_id", "key", "stem", "stem_sum", F.round("weight", 6).alias("weight"))
+    return _weighted(spark, d, porter.stem_column(F.col("key"))).select("doc_id", "key", "stem", "stem_sum", F.round("weight", 6).alias("weight"))
 
 
 @BOOK.query("a20_keyword_lists", f"SELECT doc_id, string_agg(key, ' ' ORDER BY key) AS keys FROM ({D_WORDS}) GROUP BY doc_id")

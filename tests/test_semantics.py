@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +17,7 @@ from shelfmark.functions import match, porter
 from shelfmark.functions import scalars as sc
 from shelfmark.operators import browse, refresh, web
 from shelfmark.operators import search as find
-from shelfmark.plans import boolean
+from shelfmark.plans import boolean, registry
 from shelfmark.plans.boolean import Group
 from shelfmark.sources import config, listings
 from shelfmark.sources.catalog import FilesCatalog
@@ -272,6 +274,40 @@ def test_stems():
     assert {w: porter.stem(w) for w in published} == published
 
 
+def test_stems_are_found_once_for_each_row_and_kept_by_the_worker(spark):
+    plan = registry.queries()["a3_stem_sums"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    porter._kept_stem.cache_clear()
+    for _ in range(3):  # three batches
+        assert porter._stems(pa.array(["running", None, "running", "of"])).to_pylist() == ["run", None, "run", "of"]
+    assert porter._kept_stem.cache_info().misses == 2
+
+
+@pytest.mark.parametrize("name", ["a3_stem_sums", "a4_weights", "w3_top_keywords"])
+def test_weights_split_the_texts_once(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
+def test_weights_of_stems_against_plain_sums(spark):
+    rows = [(d, k, n) for d in range(12) for k, n in (("run", 1 + d), ("running", 2), ("cat", 3), (f"only{d}", 1)) if d % 3 or k != "cat"]
+    counts = spark.createDataFrame(rows, "doc int, key string, num long")
+    got = {(r.doc, r.key): (r.stem, r.stem_sum, r.stem_docs, round(r.weight, 6)) for r in web.weights(counts, "doc", porter.stem_column(F.col("key"))).collect()}
+    for d, k, _ in rows:
+        alike = [(e, n) for e, j, n in rows if porter.stem(j) == porter.stem(k)]
+        own, total, docs = sum(n for e, n in alike if e == d), sum(n for e, _, n in rows if e == d), len({e for e, _ in alike})
+        assert got[d, k] == (porter.stem(k), own, docs, round(own / total * math.log10(12 / docs), 6))
+    assert len(got) == len(rows)
+
+
+def test_indexed_documents_are_those_with_a_keyword(spark):
+    texts = ["the of", "", None, "The cat", "ééé", "éabc", "x" * 51, "x" * 50, "the-of", "-the", "cat-", "of ... 7", "THE\u0301 a", "\u0130a", "wizards", "и", "the cat-" + "y" * 60, "a" + "b" * 60 + " c"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(3, "twice")], "doc int, text string")
+    for stops in (web.STOP_WORDS, ("cat", "c"), ()):
+        expected = web.keywords(df, "doc", F.col("text"), stops).select("doc").distinct().count()
+        assert web.count_indexed(df, "doc", F.col("text"), stops).first().n_docs == expected
+
+
 def test_urls(spark):
     df = strings(spark, "HTTP://User@Ex.COM:80/a//b/../c/./d?q=1#f")
     r = df.select(sc.canonical_url(F.col("s")).alias("u"), sc.resolve_path(F.lit("/a//b/../c/./d/..")).alias("p"), sc.join_url(F.lit("http://x/a/b"), F.lit("../c?d")).alias("j")).first()
