@@ -155,9 +155,10 @@ def perms_bits(text: Column) -> Column:
 
 def vms_perms_bits(text: Column) -> Column:
     """(RWED,RWED,RE,) as four nibbles: system, owner, group, world."""
-    classes = F.split(F.regexp_replace(text, "[()\\s]", ""), ",")
+    classes = F.coalesce(F.split(F.upper(F.regexp_replace(text, "[()\\s]", "")), ","), F.array().cast("array<string>"))
+    four = F.slice(F.concat(classes, F.array_repeat(F.lit(""), 4)), 1, 4)
     nibble = lambda c: sum(F.when(c.contains(x), 1 << (3 - k)).otherwise(0) for k, x in enumerate("RWED"))
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: nibble(F.upper(F.coalesce(F.get(classes, i), F.lit(""))))), F.lit(0), lambda a, x: a * 16 + x)
+    return sum(nibble(F.get(four, F.lit(i))) * 16 ** (3 - i) for i in range(4))
 
 
 def novell_perms_bits(text: Column, is_dir: Column) -> Column:

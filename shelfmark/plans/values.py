@@ -180,9 +180,14 @@ def _listed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(listed: DataFrame, header, entry) -> DataFrame:
-    first = listed.groupBy("site_id", "dir_id").agg(F.min("line_no").alias("line_no"))
-    heads = first.select("site_id", (F.col("line_no") - 1).alias("line_no"), header.alias("line"))
-    return heads.unionByName(listed.select("site_id", "line_no", entry.alias("line")))
+    """The entries' lines, and one before the first of each directory."""
+    from pyspark.sql import Window
+
+    before = F.lag(F.struct("dir_id")).over(Window.partitionBy("site_id").orderBy("dir_id", "s"))
+    own = F.struct("line_no", entry.alias("line"))
+    head = F.struct((F.col("line_no") - 1).alias("line_no"), header.alias("line"))
+    told = listed.withColumn("starts", ~before.eqNullSafe(F.struct("dir_id")))
+    return told.select("site_id", F.explode(F.when(F.col("starts"), F.array(head, own)).otherwise(F.array(own))).alias("x")).select("site_id", "x.*")
 
 
 _READ_BACK = "SELECT site_id, dir_id::VARCHAR AS dir, s AS name, trunc(size)::BIGINT AS size, strftime({}, '%Y-%m-%d %H:%M') AS mtime, {} AS perms FROM f_entries"

@@ -6,6 +6,8 @@ stands in is the last header before it, a window over the site's lines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,20 @@ VMS_HEADER = r"^(?:\S+:)?\[([^\]]+)\]\s*$"
 NOVELL_ENTRY = r"^([-d])\s*(\[[-RWCEMFAS ]*\])\s+(\S+)\s+(\d+)\s+([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{4}|\d{1,2}:\d{2})\s+(.+)$"
 
 
-def _dirs(lines: DataFrame, header: str, path: Column) -> DataFrame:
+def _dirs(lines: DataFrame, header: str, path=lambda found: found) -> DataFrame:
+    """lines with dir: the path of the last header, whose first group is never empty."""
     w = Window.partitionBy("site_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("dir", F.coalesce(F.last(F.when(F.col("line").rlike(header), path), ignorenulls=True).over(w), F.lit("")))
+    told = lines.withColumn("_head", F.regexp_extract("line", header, 1))
+    return told.withColumn("dir", F.coalesce(F.last(F.when(F.col("_head") != "", path(F.col("_head"))), ignorenulls=True).over(w), F.lit(""))).drop("_head")
+
+
+def _cut(lines: DataFrame, entry: str, groups: str) -> tuple[DataFrame, Callable[[int], Column]]:
+    """The lines that are entries, and their fields by place: the groups (digits, 0 for the tenth), by one match of a line.
+
+    No field but the last can hold a line end, so line ends part them."""
+    refs = "\n".join(f"${int(g) or 10}" for g in groups)
+    told = lines.where(F.col("line").rlike(entry)).withColumn("_cut", F.split(F.regexp_replace("line", entry, refs), "\n", len(groups)))
+    return told, lambda k: F.get("_cut", F.lit(k))
 
 
 def cleaned(lines: DataFrame) -> DataFrame:
@@ -34,11 +47,11 @@ def cleaned(lines: DataFrame) -> DataFrame:
 
 def unix(lines: DataFrame, as_of: Column) -> DataFrame:
     """ls -lR: devices and sockets are left out, a link's target is cut off its name."""
-    part = lambda k: F.regexp_extract("line", UNIX_ENTRY, k)
-    path = F.regexp_replace(F.regexp_extract("line", UNIX_HEADER, 1), r"^\./?", "")
-    told = _dirs(cleaned(lines), UNIX_HEADER, path).where(F.col("line").rlike(UNIX_ENTRY) & part(1).isin("-", "d", "l"))
-    name = F.when(part(1) == "l", F.regexp_replace(part(10), " -> .*$", "")).otherwise(part(10))
-    return told.select("site_id", "line_no", "dir", name.alias("name"), (part(1) == "d").alias("is_dir"), (part(1) == "l").alias("is_link"), part(6).cast("long").alias("size"), sc.listing_date(part(7), part(8), part(9), as_of).alias("mtime"), sc.perms_bits(part(2)).alias("perms")).where(~F.col("name").isin(".", ".."))
+    told = _dirs(cleaned(lines), UNIX_HEADER, lambda found: F.regexp_replace(found, r"^\./?", ""))
+    told, part = _cut(told, UNIX_ENTRY, "1267890")
+    told, kind = told.where(part(0).isin("-", "d", "l")), part(0)
+    name = F.when(kind == "l", F.regexp_replace(part(6), " -> .*$", "")).otherwise(part(6))
+    return told.select("site_id", "line_no", "dir", name.alias("name"), (kind == "d").alias("is_dir"), (kind == "l").alias("is_link"), part(2).cast("long").alias("size"), sc.listing_date(part(3), part(4), part(5), as_of).alias("mtime"), sc.perms_bits(part(1)).alias("perms")).where(~F.col("name").isin(".", ".."))
 
 
 def vms(lines: DataFrame) -> DataFrame:
@@ -46,19 +59,19 @@ def vms(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("site_id").orderBy("line_no")
     alone = F.col("line").rlike(r"^\S+;\d+\s*$")
     joined = lines.withColumn("line", F.when(alone, F.concat(F.trim("line"), F.lit(" "), F.trim(F.lead("line").over(w)))).otherwise(F.col("line")))
-    part = lambda k: F.regexp_extract("line", VMS_ENTRY, k)
-    told = _dirs(joined, VMS_HEADER, F.replace(F.regexp_extract("line", VMS_HEADER, 1), F.lit("."), F.lit("/"))).where(F.col("line").rlike(VMS_ENTRY))
-    bare = F.regexp_replace(part(1), ";.*$", "")
+    told = _dirs(joined, VMS_HEADER, lambda found: F.replace(found, F.lit("."), F.lit("/")))
+    told, part = _cut(told, VMS_ENTRY + r"(?s:.*)", "1234568")
+    bare = F.regexp_replace(part(0), ";.*$", "")
     is_dir = F.upper(bare).endswith(".DIR")
-    stamp = sc.listing_date(part(4), part(3), part(5), F.current_timestamp()) + F.make_dt_interval(hours=F.split_part(part(6), F.lit(":"), F.lit(1)).cast("int"), mins=F.split_part(part(6), F.lit(":"), F.lit(2)).cast("int"))
-    return told.select("site_id", "line_no", "dir", F.when(is_dir, F.regexp_replace(bare, r"(?i)\.DIR$", "")).otherwise(bare).alias("name"), is_dir.alias("is_dir"), F.lit(False).alias("is_link"), part(2).cast("long").alias("size"), stamp.alias("mtime"), sc.vms_perms_bits(part(8)).alias("perms"))
+    clock = lambda k: F.split_part(part(5), F.lit(":"), F.lit(k)).cast("int")
+    stamp = sc.listing_date(part(3), part(2), part(4), F.current_timestamp()) + F.make_dt_interval(hours=clock(1), mins=clock(2))
+    return told.select("site_id", "line_no", "dir", F.when(is_dir, F.regexp_replace(bare, r"(?i)\.DIR$", "")).otherwise(bare).alias("name"), is_dir.alias("is_dir"), F.lit(False).alias("is_link"), part(1).cast("long").alias("size"), stamp.alias("mtime"), sc.vms_perms_bits(part(6)).alias("perms"))
 
 
 def novell(lines: DataFrame, as_of: Column) -> DataFrame:
-    part = lambda k: F.regexp_extract("line", NOVELL_ENTRY, k)
-    told = _dirs(lines, UNIX_HEADER, F.regexp_extract("line", UNIX_HEADER, 1)).where(F.col("line").rlike(NOVELL_ENTRY))
-    is_dir = part(1) == "d"
-    return told.select("site_id", "line_no", "dir", part(8).alias("name"), is_dir.alias("is_dir"), F.lit(False).alias("is_link"), part(4).cast("long").alias("size"), sc.listing_date(part(5), part(6), part(7), as_of).alias("mtime"), sc.novell_perms_bits(part(2), is_dir).alias("perms"))
+    told, part = _cut(_dirs(lines, UNIX_HEADER), NOVELL_ENTRY, "1245678")
+    is_dir = part(0) == "d"
+    return told.select("site_id", "line_no", "dir", part(6).alias("name"), is_dir.alias("is_dir"), F.lit(False).alias("is_link"), part(2).cast("long").alias("size"), sc.listing_date(part(3), part(4), part(5), as_of).alias("mtime"), sc.novell_perms_bits(part(1), is_dir).alias("perms"))
 
 
 #: Parsers by server system; more can be added.

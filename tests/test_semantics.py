@@ -161,6 +161,23 @@ def test_capped_search_reads_the_postings_once(spark):
     assert scans(find.capped(one, 10, 5, 20)) == scans(one) > 0
 
 
+def test_listing_lines_are_cut_by_one_match(spark):
+    """Entries are read once, and a line's fields come from one match, not one for each use."""
+    for name in ("s12_unix_listing", "s13_vms_listing", "s14_novell_listing"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_orderkey") and plan.count("Relation") == 2 and plan.count("regexp_extract(") <= 1
+
+
+def test_listing_fields_with_odd_characters(spark):
+    unix_lines = lines(spark, "./a:\n-rw-r--r-- 1 ftp 7 Mar 4 2001 x  y\u0001 -> $1 \\n\nlrwxrwxrwx 1 o g 3 Mar 4 2001 l -> t -> u")
+    got = {r.name: (r.dir, r.size, r.is_link) for r in listings.unix(unix_lines, as_of()).collect()}
+    assert got == {"x  y\u0001 -> $1 \\n": ("a", 7, False), "l": ("a", 3, True)}
+    vms_lines = lines(spark, "D:[A.B]\nX.Y;1  5/9  4-MAR-2001 10:20:30  [1,4]  (RWED,R)  more (x)")
+    assert [(r.dir, r.name, r.size, r.perms) for r in listings.vms(vms_lines).collect()] == [("A/B", "X.Y", 5, 0xF800)]
+    perms = spark.createDataFrame([("(rwed,,re,w)",), ("",), (None,), ("(R,R,R,R,R)",)], "t string")
+    assert [r[0] for r in perms.select(sc.vms_perms_bits(F.col("t"))).collect()] == [0xF0A4, 0, 0, 0x8888]
+
+
 def test_tree_paths(spark):
     tree = spark.createDataFrame([(1, 0, None, "a"), (1, 1, 0, "b"), (1, 2, 1, "c"), (2, 0, None, "z")], "tree_id int, node_id int, parent_id int, name string")
     assert sorted((r.tree_id, r.path, r.depth) for r in browse.tree_paths(tree).collect()) == [(1, "/a", 0), (1, "/a/b", 1), (1, "/a/b/c", 2), (2, "/z", 0)]
