@@ -9,8 +9,17 @@ from shelfmark.functions.scalars import url_host
 
 
 def files_by_site(entries: DataFrame) -> DataFrame:
-    """Files, directories, bytes and names of each site, and of all together (site_id null): one rollup."""
-    return entries.rollup("site_id").agg(F.count("*").alias("files"), F.countDistinct("dir_id").alias("dirs"), F.round(F.sum("size"), 2).alias("bytes"), F.countDistinct("s").alias("names"))
+    """Files, directories, bytes and names of each site, and of all together (site_id null).
+
+    Directories and names have a rollup each over their own distinct pairs, as one rollup with two distinct counts
+    unfolds each entry into six rows that a task holds at once.  The rollups have a row a site and meet by it."""
+    of_all = F.grouping_id().alias("_all")
+    out = entries.rollup("site_id").agg(of_all, F.count("*").alias("files"), F.round(F.sum("size"), 2).alias("bytes"))
+    for column, name in (("dir_id", "dirs"), ("s", "names")):
+        pairs = entries.select("site_id", column).distinct()
+        found = pairs.rollup("site_id").agg(of_all, F.countDistinct(column).alias(name)).withColumnsRenamed({"site_id": "_site", "_all": "_of"})
+        out = out.join(found, (F.col("_all") == F.col("_of")) & F.col("site_id").eqNullSafe(F.col("_site"))).drop("_site", "_of")
+    return out.select("site_id", "files", "dirs", "bytes", "names")
 
 
 def length_histogram(strings: DataFrame) -> DataFrame:

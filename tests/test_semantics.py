@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import match, porter
 from shelfmark.functions import scalars as sc
-from shelfmark.operators import browse, refresh, web
+from shelfmark.operators import browse, refresh, stats, web
 from shelfmark.operators import search as find
 from shelfmark.plans import boolean, registry
 from shelfmark.plans.boolean import Group
@@ -183,6 +183,16 @@ def test_tree_paths(spark):
     assert sorted((r.tree_id, r.path, r.depth) for r in browse.tree_paths(tree).collect()) == [(1, "/a", 0), (1, "/a/b", 1), (1, "/a/b/c", 2), (2, "/z", 0)]
 
 
+def test_files_by_site_over_nulls_and_without_unfolding_entries(spark):
+    rows = [(1, 1, "a", 1.5), (1, 1, "b", 2.0), (1, None, "a", None), (2, 1, "a", 4.0), (None, 2, None, 8.0), (3, None, None, None)]
+    entries = spark.createDataFrame(rows, "site_id int, dir_id int, s string, size double")
+    got = sorted((tuple(r) for r in stats.files_by_site(entries).collect()), key=repr)
+    assert got == sorted([(1, 3, 1, 3.5, 2), (2, 1, 1, 4.0, 1), (3, 1, 0, None, 0), (None, 1, 1, 8.0, 0), (None, 6, 2, 15.5, 2)], key=repr)
+    assert stats.files_by_site(entries.limit(0)).count() == entries.limit(0).rollup("site_id").count().count()
+    plan = stats.files_by_site(entries)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Expand" in x and "dir_id" in x and "s#" in x.replace("dirs#", "")]
+
+
 def test_pseudo_domains(spark):
     table = config.domain_table(spark, "world europe:asia all of it\neurope fr:de \\\n two\n# none\nasia jp one\n")
     assert sorted((r.name, r.suffix) for r in browse.expand_domains(table, ["world"]).collect()) == [("world", "de"), ("world", "fr"), ("world", "jp")]
