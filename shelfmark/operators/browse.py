@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +57,30 @@ def carried_header(rows: DataFrame, group: str, order: str, header, value: str)
     return rows.withColumn("header", F.last(F.when(header, F.col(value)), ignorenulls=True).over(w))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir, which all executors share, and read back; where that is unset
+    and all tasks run in this process, to a folder of its own."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
+    path = f"{folder}/shelfmark/level-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def tree_paths(tree: DataFrame, most: int = 64) -> DataFrame:
     """(tree_id, node_id, path, depth) of a tree (tree_id, node_id, parent_id or null, name), level by level.
 
-    One equi-join a level on (tree, parent), all trees together; a level without rows ends it."""
-    roots = tree.where("parent_id is null").select("tree_id", "node_id", F.concat(F.lit("/"), "name").alias("path"), F.lit(0).alias("depth"))
-    done, level = roots, roots
+    One equi-join a level on (tree, parent), all trees together; a level without rows ends it.  Each level is stored,
+    so that no task runs the joins of the levels above again."""
+    level = _settled(tree.where("parent_id is null").select("tree_id", "node_id", F.concat(F.lit("/"), "name").alias("path"), F.lit(0).alias("depth")))
+    done = level
     below = tree.where("parent_id is not null").select(F.col("tree_id").alias("in_tree"), F.col("node_id").alias("child"), "parent_id", "name")
     for depth in range(1, most):
-        level = level.join(below, (F.col("tree_id") == F.col("in_tree")) & (F.col("node_id") == F.col("parent_id"))).select("tree_id", F.col("child").alias("node_id"), F.concat("path", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth"))
+        level = _settled(level.join(below, (F.col("tree_id") == F.col("in_tree")) & (F.col("node_id") == F.col("parent_id"))).select("tree_id", F.col("child").alias("node_id"), F.concat("path", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth")))
         if level.isEmpty():
             return done
         done = done.unionByName(level)

@@ -183,6 +183,11 @@ def test_tree_paths(spark):
     assert sorted((r.tree_id, r.path, r.depth) for r in browse.tree_paths(tree).collect()) == [(1, "/a", 0), (1, "/a/b", 1), (1, "/a/b/c", 2), (2, "/z", 0)]
 
 
+def test_tree_paths_join_no_level_twice(spark):
+    plan = registry.queries()["j6_paths_by_parents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" in plan
+
+
 def test_files_by_site_over_nulls_and_without_unfolding_entries(spark):
     rows = [(1, 1, "a", 1.5), (1, 1, "b", 2.0), (1, None, "a", None), (2, 1, "a", 4.0), (None, 2, None, 8.0), (3, None, None, None)]
     entries = spark.createDataFrame(rows, "site_id int, dir_id int, s string, size double")
