@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from shelfmark.functions import scalars as sc
-from shelfmark.functions.match import valid_keyword
 
 COMMENT, TAG = r"(?s)<!--.*?-->", r"(?s)<[^>]*>"
 WORD = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
@@ -108,54 +113,129 @@ def keyword_lists(counts: DataFrame, doc: str) -> DataFrame:
     return counts.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list("key")), " ").alias("keys"))
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+#: WORD for Python, where \w is letters, numbers and the underscore; and ASCII characters that no word has, as blanks.
+_WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
+_PARTED = bytes(c if c > 127 or chr(c).isalnum() or chr(c) == "-" else 32 for c in range(256))
+#: Documents that a task holds at once, and that a row of postings is of at most.
+POSTED_ROWS = 1024
+
+
+def _is_keyword(word: str, stops: frozenset[str]) -> bool:
+    """As match.valid_keyword, and no stop word."""
+    return word not in stops and len(word) <= 50 and (word.isascii() or sum(c > "\x7f" for c in word) * 4 <= len(word))
+
+
+def _word_counts(texts: list[bytes]) -> Counter:
+    """How often each word stands in the texts: blanks part most, and the pattern is for what has other signs."""
+    found = Counter()
+    for text in texts:
+        found.update(text.translate(_PARTED).decode().split())
+    for piece in [k for k in found if not k.isalnum()]:
+        n = found.pop(piece)
+        for word in _WORD.findall(piece):
+            found[word] = found.get(word, 0) + n
+    return found
+
+
+def _posted(stops: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, postings) of slices of (doc, lower-case texts)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, POSTED_ROWS):
+            part = batch.slice(start, POSTED_ROWS)
+            words, nums, sizes = [], [], []
+            for texts in part.column(1).cast(pa.list_(pa.binary())).to_pylist():
+                found = _word_counts(texts)
+                words += found
+                nums += found.values()
+                sizes.append(len(found))
+            coded = pa.array(words, pa.string()).dictionary_encode()
+            keys = coded.dictionary.to_numpy(zero_copy_only=False)
+            kept = np.fromiter((_is_keyword(k, stops) for k in keys), bool, len(keys))
+            code, doc, num = coded.indices.to_numpy(), np.repeat(np.arange(part.num_rows), sizes), np.asarray(nums, np.int64)
+            code, doc, num = (x[kept[code]] for x in (code, doc, num))
+            total = np.zeros(part.num_rows, np.int64)
+            np.add.at(total, doc, num)
+            by_key, count = np.argsort(code, kind="stable"), np.bincount(code, minlength=len(keys))[kept]
+            doc, num = doc[by_key], num[by_key]
+            posting = pa.StructArray.from_arrays([part.column(0).take(pa.array(doc)), pa.array(total[doc]), pa.array(num)], [part.schema.field(0).name, "total", "num"])
+            ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.filter(pa.array(kept)), pa.ListArray.from_arrays(pa.array(ends), posting)], ["key", "postings"])
+
+
+def _having(stops: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc) of each (doc, lower-case text) with a keyword; a text is read up to its first."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, POSTED_ROWS):
+            part = batch.slice(start, POSTED_ROWS)
+            has = [any(_is_keyword(m.group(), stops) for m in _WORD.finditer(text)) for text in part.column(1).to_pylist()]
+            yield part.select([0]).filter(pa.array(has, pa.bool_()))
+
+
+def postings(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:
+    """(key, postings of doc, total, num): how often a keyword stands in some documents, and how many each has in all.
+
+    Words are counted where the texts are: a row leaves for each keyword of up to POSTED_ROWS documents, not for each
+    word.  A document and a key meet once; a key has several rows."""
+    own = by_document(texts.select(doc, F.lower(text).alias("texts")), doc).groupBy(doc).agg(F.collect_list("texts").alias("texts"))
+    posting = StructType([texts.schema[doc], *StructType.fromDDL("total long, num long")])
+    return own.mapInArrow(partial(_posted, frozenset(stop_words)), StructType().add("key", "string").add("postings", ArrayType(posting)))
+
+
+def _unposted(posted: DataFrame) -> DataFrame:
+    """A row for each posting, beside what else there is."""
+    rest = [c for c in posted.columns if c != "postings"]
+    return posted.select(*rest, F.explode("postings").alias("_posting")).select(*rest, "_posting.*")
 
 
 def keywords(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:
     """(doc, key, num): how often each keyword stands in a text, in lower case, without stop words and odd words."""
-    words = texts.select(doc, F.explode(_words(text)).alias("key"))
-    return words.where(valid_keyword(F.col("key")) & ~F.col("key").isin(list(stop_words))).groupBy(doc, "key").agg(F.count("*").alias("num"))
+    return _unposted(postings(texts, doc, text, stop_words)).select(doc, "key", "num")
 
 
 def by_document(texts: DataFrame, doc: str) -> DataFrame:
-    """texts dealt by document, so that counting, totals and stems of a document need no further shuffle.
+    """texts dealt by document, so that counting and totals of a document need no further shuffle.
 
     The number of parts is the session's and stays: a part's rows grow a hundredfold when texts become words."""
     return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc)
 
 
 def count_indexed(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:
-    """(n_docs), one row: how many documents have a keyword.
-
-    A word of ASCII letters alone tells it for nearly all, at its first place; other texts are split into words."""
-    stops = "|".join(re.escape(w) for w in stop_words) or "(?!)"
-    plain = rf"(?i)(?<![\p{{L}}\p{{N}}-])(?!(?:{stops})(?![a-z]))[a-z]{{1,50}}(?![\p{{L}}\p{{N}}-])"
-    every = F.exists(_words(text), lambda w: valid_keyword(w) & ~w.isin(list(stop_words)))
-    return texts.where(F.when(text.rlike(plain), True).otherwise(every)).agg(F.countDistinct(doc).alias("n_docs"))
+    """(n_docs), one row: how many documents have a keyword."""
+    told = texts.select(doc, F.lower(text).alias("text")).where("text is not null")
+    return told.mapInArrow(partial(_having, frozenset(stop_words)), StructType([texts.schema[doc]])).agg(F.countDistinct(doc).alias("n_docs"))
 
 
 def weights(counts: DataFrame, doc: str, stem: Column | None = None, least_sites: int = 10, n_docs: DataFrame | None = None) -> DataFrame:
     """counts (doc, key, num), a key once for a document, with weight: the stem's share of the document's keywords,
     times the logarithm of how rare the stem is; the share alone while there are fewer than least_sites documents.
 
-    Windows over documents and stems read the counts once; n_docs is one row, counted from counts where none is given."""
-    size = counts.agg(F.countDistinct(doc).alias("n_docs")) if n_docs is None else n_docs
-    told = counts.withColumn("total", F.sum("num").over(Window.partitionBy(doc)))
+    Counts can be given as postings, which are dealt by stem before they become a row for each document.  They are read
+    once; n_docs is one row, counted from counts where none is given."""
+    posted = "postings" in counts.columns
+    size = (_unposted(counts) if posted else counts).agg(F.countDistinct(doc).alias("n_docs")) if n_docs is None else n_docs
+    told = counts if posted else counts.withColumn("total", F.sum("num").over(Window.partitionBy(doc)))
     if stem is None:
-        told = told.select("*", F.col("key").alias("stem"), F.col("num").alias("stem_sum"), F.lit(1).alias("_first"))
+        docs = F.size("postings") if posted else F.lit(1)
+        told = told.withColumn("stem_docs", F.sum(docs).over(Window.partitionBy("key")))
+        told = (_unposted(told) if posted else told).select("*", F.col("key").alias("stem"), F.col("num").alias("stem_sum"))
     else:
-        of_stem = Window.partitionBy(doc, "stem").orderBy("key")
-        told = told.withColumn("stem", stem).withColumn("_first", (F.row_number().over(of_stem) == 1).cast("int"))
+        told = told.withColumn("stem", stem).repartition("stem")
+        of_stem = Window.partitionBy("stem", doc).orderBy("key")
+        told = (_unposted(told) if posted else told).withColumn("_first", (F.row_number().over(of_stem) == 1).cast("int"))
         told = told.withColumn("stem_sum", F.sum("num").over(of_stem.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    out = told.withColumn("stem_docs", F.sum("_first").over(Window.partitionBy("stem"))).drop("_first").crossJoin(F.broadcast(size))  # one row
+        told = told.withColumn("stem_docs", F.sum("_first").over(Window.partitionBy("stem"))).drop("_first")
+    out = told.crossJoin(F.broadcast(size))  # one row
     share = F.col("stem_sum") / F.col("total")
     return out.withColumn("weight", F.when(F.col("n_docs") < least_sites, share).otherwise(share * F.log10(F.col("n_docs") / F.col("stem_docs"))))
 
 
 def top_keywords(weighted: DataFrame, doc: str, n: int = 500) -> DataFrame:
+    """weighted with rank, up to n for each document.
+
+    Rows are dealt by document before they are ranked: a task of rows dealt by keyword has few of a document's, so that
+    a first cut there would sort them all and drop next to none."""
     rank = F.row_number().over(Window.partitionBy(doc).orderBy(F.round("weight", 6).desc(), "key"))
-    return weighted.withColumn("rank", rank).where(F.col("rank") <= n)
+    return weighted.repartition(doc).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def url_tree(urls: DataFrame) -> DataFrame:

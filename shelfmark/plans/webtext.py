@@ -163,7 +163,7 @@ _WEIGHTS = f"WITH c AS ({D_WORDS}), t AS (SELECT *, sum(num) OVER (PARTITION BY
 
 def _weighted(spark: SparkSession, d: str, stem: Column | None = None) -> DataFrame:
     docs = FilesCatalog(spark, d).read("documents").select("doc_id", "text")
-    counts = web.keywords(web.by_document(docs, "doc_id"), "doc_id", F.col("text"))
+    counts = web.postings(docs, "doc_id", F.col("text"))
     return web.weights(counts, "doc_id", stem, n_docs=web.count_indexed(docs, "doc_id", F.col("text")))
 
 

@@ -321,6 +321,32 @@ def test_weights_split_the_texts_once(spark, name):
     assert plan.count("Generate explode") == 1
 
 
+@pytest.mark.parametrize("name", ["a3_stem_sums", "a4_weights", "w3_top_keywords"])
+def test_weights_deal_postings_and_not_words(spark, name):
+    """Rows are dealt by keyword as postings, unfolded behind it, totals come with them, and ranks sort once."""
+    df = registry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode(postings")
+    assert "MapInArrow" in below and ("RepartitionByExpression [stem" if name == "a3_stem_sums" else "windowspecdefinition(key") in below
+    assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") <= 1
+
+
+def test_postings_against_the_pattern(spark, monkeypatch):
+    texts = ["Cat cat- -CAT e-mail--e-mail cat_dog", "\u00c4pfel-mus \u00e4 na\u00efve\u00a0caf\u00e9 \u0130x x\u00b2", None, "", "the of", "a\u0000b c\u2028d\u0085e\x1ff", "x" * 51 + " " + "y" * 50, "\U0001d4b3word word\U0001f600word 7 \u0663abc"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, "cat more"), (3, "late")], "doc int, text string")
+    words = df.select("doc", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(web.WORD), F.lit(0))).alias("key"))
+    words = words.where(match.valid_keyword(F.col("key")) & ~F.col("key").isin(list(web.STOP_WORDS))).groupBy("doc", "key").agg(F.count("*").alias("num"))
+    expected = sorted(tuple(r) for r in words.collect())
+    assert sorted(tuple(r) for r in web.keywords(df, "doc", F.col("text")).collect()) == expected and ("e-mail" in {k for _, k, _ in expected})
+    posted = [(r.key, p.doc, p.total, p.num) for r in web.postings(df, "doc", F.col("text")).collect() for p in r.postings]
+    total = lambda doc: sum(n for d, _, n in expected if d == doc)
+    assert sorted((d, k, n) for k, d, _, n in posted) == expected and all(t == total(d) for _, d, t, _ in posted)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([["b a b"], ["a"], [], ["the"], ["c", "a"]])], ["doc", "texts"])
+    monkeypatch.setattr(web, "POSTED_ROWS", 2)
+    rows = [(r["key"], [tuple(p.values()) for p in r["postings"]]) for b in web._posted(frozenset(["the"]), iter([batch])) for r in b.to_pylist()]
+    assert rows == [("b", [(0, 3, 2)]), ("a", [(0, 3, 1), (1, 1, 1)]), ("c", [(4, 2, 1)]), ("a", [(4, 2, 1)])]
+
+
 def test_weights_of_stems_against_plain_sums(spark):
     rows = [(d, k, n) for d in range(12) for k, n in (("run", 1 + d), ("running", 2), ("cat", 3), (f"only{d}", 1)) if d % 3 or k != "cat"]
     counts = spark.createDataFrame(rows, "doc int, key string, num long")
