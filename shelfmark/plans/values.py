@@ -184,9 +184,9 @@ def _lines(listed: DataFrame, header, entry) -> DataFrame:
     from pyspark.sql import Window
 
     before = F.lag(F.struct("dir_id")).over(Window.partitionBy("site_id").orderBy("dir_id", "s"))
-    own = F.struct("line_no", entry.alias("line"))
+    own = F.struct("line_no", "line")
     head = F.struct((F.col("line_no") - 1).alias("line_no"), header.alias("line"))
-    told = listed.withColumn("starts", ~before.eqNullSafe(F.struct("dir_id")))
+    told = listed.withColumn("line", entry).withColumn("starts", ~before.eqNullSafe(F.struct("dir_id")))
     return told.select("site_id", F.explode(F.when(F.col("starts"), F.array(head, own)).otherwise(F.array(own))).alias("x")).select("site_id", "x.*")
 
 

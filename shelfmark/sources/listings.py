@@ -17,6 +17,7 @@ COLUMNS = ["site_id", "line_no", "dir", "name", "is_dir", "is_link", "size", "mt
 
 UNIX_ENTRY = r"^([-dlbcps])([-rwxtslST]{9})\S*\s+(\d+)\s+(\S+)\s+(?:(\S+)\s+)?(\d+)\s+([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{4}|\d{1,2}:\d{2})\s+(.+)$"
 UNIX_HEADER = r"^(\S.*):$"
+UNIX_SELF = r"\s\.\.?(?: -> |$)"
 UNIX_NOISE = r"^(total\s+\d+|.*: (?:Permission denied|No such file or directory)|\s*)$"
 VMS_ENTRY = r"^(\S+;\d+)\s+(\d+)(?:/\d+)?\s+(\d{1,2})-([A-Za-z]{3})-(\d{4})\s+(\d{1,2}:\d{2})(?::\d{2})?\s+\[([^\]]*)\]\s+(\([^)]*\))"
 VMS_HEADER = r"^(?:\S+:)?\[([^\]]+)\]\s*$"
@@ -46,12 +47,16 @@ def cleaned(lines: DataFrame) -> DataFrame:
 
 
 def unix(lines: DataFrame, as_of: Column) -> DataFrame:
-    """ls -lR: devices and sockets are left out, a link's target is cut off its name."""
+    """ls -lR: devices and sockets are left out, a link's target is cut off its name.
+
+    What is left out is told by the line, as filters on fields are moved below the fields and cut the line anew: the
+    kind is its first letter, and only a line with UNIX_SELF can be that of . or .. (the name decides)."""
     told = _dirs(cleaned(lines), UNIX_HEADER, lambda found: F.regexp_replace(found, r"^\./?", ""))
-    told, part = _cut(told, UNIX_ENTRY, "1267890")
-    told, kind = told.where(part(0).isin("-", "d", "l")), part(0)
+    told, part = _cut(told.where(F.substr("line", F.lit(1), F.lit(1)).isin("-", "d", "l")), UNIX_ENTRY, "1267890")
+    kind = part(0)
     name = F.when(kind == "l", F.regexp_replace(part(6), " -> .*$", "")).otherwise(part(6))
-    return told.select("site_id", "line_no", "dir", name.alias("name"), (kind == "d").alias("is_dir"), (kind == "l").alias("is_link"), part(2).cast("long").alias("size"), sc.listing_date(part(3), part(4), part(5), as_of).alias("mtime"), sc.perms_bits(part(1)).alias("perms")).where(~F.col("name").isin(".", ".."))
+    told = told.where(~(F.col("line").rlike(UNIX_SELF) & name.isin(".", "..")))
+    return told.select("site_id", "line_no", "dir", name.alias("name"), (kind == "d").alias("is_dir"), (kind == "l").alias("is_link"), part(2).cast("long").alias("size"), sc.listing_date(part(3), part(4), part(5), as_of).alias("mtime"), sc.perms_bits(part(1)).alias("perms"))
 
 
 def vms(lines: DataFrame) -> DataFrame:

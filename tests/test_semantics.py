@@ -168,6 +168,22 @@ def test_listing_lines_are_cut_by_one_match(spark):
         assert plan.count("l_orderkey") and plan.count("Relation") == 2 and plan.count("regexp_extract(") <= 1
 
 
+def test_listing_filters_do_not_cut_lines_anew(spark):
+    """Of the filters, only that of . and .. needs a name, and only for lines that can have it."""
+    plan = registry.queries()["s12_unix_listing"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ")
+    below = plan[plan.index(" Filter ") :]
+    assert "substr" in below and not re.search(r"split\(regexp_replace[^A-Z]*\[0\] IN", below)
+    assert re.search(r"NOT RLIKE\(line#\d+, \\s\\\.\\\.\?\(\?: -> \|\$\)\) OR NOT", below) or re.search(r"NOT \(RLIKE\(line#\d+, \\s", below)
+
+
+def test_listing_leaves_out_a_directory_and_the_one_above(spark):
+    names = [".", "..", "...", ". x", "a .", "a ..", ". -> x", ".. -> y", "b -> .", "a . -> x", ".a", "a.", " .", ".. "]
+    text = "\n".join(f"{k}rw-r--r-- 1 ftp 7 Mar 4 2001 {n}" for k in "-ldcbp" for n in names)
+    got = [(r.is_dir, r.is_link, r.name) for r in listings.unix(lines(spark, text), as_of()).orderBy("line_no").collect()]
+    cut = lambda k, n: n.lstrip().split(" -> ")[0] if k == "l" else n.lstrip()
+    assert got == [(k == "d", k == "l", cut(k, n)) for k in "-ld" for n in names if cut(k, n) not in (".", "..")]
+
+
 def test_listing_fields_with_odd_characters(spark):
     unix_lines = lines(spark, "./a:\n-rw-r--r-- 1 ftp 7 Mar 4 2001 x  y\u0001 -> $1 \\n\nlrwxrwxrwx 1 o g 3 Mar 4 2001 l -> t -> u")
     got = {r.name: (r.dir, r.size, r.is_link) for r in listings.unix(unix_lines, as_of()).collect()}
