@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from shelfmark.functions import scalars as sc
 
@@ -116,8 +118,8 @@ def keyword_lists(counts: DataFrame, doc: str) -> DataFrame:
 #: WORD for Python, where \w is letters, numbers and the underscore; and ASCII characters that no word has, as blanks.
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _PARTED = bytes(c if c > 127 or chr(c).isalnum() or chr(c) == "-" else 32 for c in range(256))
-#: Documents that a task holds at once, and that a row of postings is of at most.
-POSTED_ROWS = 1024
+#: Documents that a row of postings is of at most, and about how many of their words a task holds at once.
+POSTED_ROWS, POSTED_WORDS = 4096, 1 << 20
 
 
 def _is_keyword(word: str, stops: frozenset[str]) -> bool:
@@ -125,6 +127,15 @@ def _is_keyword(word: str, stops: frozenset[str]) -> bool:
     return word not in stops and len(word) <= 50 and (word.isascii() or sum(c > "\x7f" for c in word) * 4 <= len(word))
 
 
+def _are_keywords(words: pa.Array, stops: frozenset[str]) -> np.ndarray:
+    """_is_keyword of each."""
+    ascii, stop, size = (x.to_numpy(zero_copy_only=False) for x in (pc.string_is_ascii(words), pc.is_in(words, pa.array(sorted(stops), words.type)), pc.utf8_length(words)))
+    out = ~stop & (size <= 50)
+    odd = pc.count_substring_regex(words.filter(pa.array(~ascii)), r"[^\x00-\x7f]").to_numpy(zero_copy_only=False)
+    out[~ascii] &= odd * 4 <= size[~ascii]
+    return out
+
+
 def _word_counts(texts: list[bytes]) -> Counter:
     """How often each word stands in the texts: blanks part most, and the pattern is for what has other signs."""
     found = Counter()
@@ -137,48 +148,73 @@ def _word_counts(texts: list[bytes]) -> Counter:
     return found
 
 
-def _posted(stops: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, postings) of slices of (doc, lower-case texts)."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[str], list[int]]]:
+    """Slices of (doc, lower-case texts): how many words each document has, its words and how often each stands there."""
     for batch in batches:
-        for start in range(0, batch.num_rows, POSTED_ROWS):
-            part = batch.slice(start, POSTED_ROWS)
-            words, nums, sizes = [], [], []
-            for texts in part.column(1).cast(pa.list_(pa.binary())).to_pylist():
-                found = _word_counts(texts)
-                words += found
-                nums += found.values()
-                sizes.append(len(found))
-            coded = pa.array(words, pa.string()).dictionary_encode()
-            keys = coded.dictionary.to_numpy(zero_copy_only=False)
-            kept = np.fromiter((_is_keyword(k, stops) for k in keys), bool, len(keys))
-            code, doc, num = coded.indices.to_numpy(), np.repeat(np.arange(part.num_rows), sizes), np.asarray(nums, np.int64)
-            code, doc, num = (x[kept[code]] for x in (code, doc, num))
-            total = np.zeros(part.num_rows, np.int64)
-            np.add.at(total, doc, num)
-            by_key, count = np.argsort(code, kind="stable"), np.bincount(code, minlength=len(keys))[kept]
-            doc, num = doc[by_key], num[by_key]
-            posting = pa.StructArray.from_arrays([part.column(0).take(pa.array(doc)), pa.array(total[doc]), pa.array(num)], [part.schema.field(0).name, "total", "num"])
-            ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([coded.dictionary.filter(pa.array(kept)), pa.ListArray.from_arrays(pa.array(ends), posting)], ["key", "postings"])
+        start, sizes, words, nums = 0, [], [], []
+        for end, texts in enumerate(batch.column(1).cast(pa.list_(pa.binary())), 1):
+            found = _word_counts(texts.as_py())
+            words += found
+            nums += found.values()
+            sizes.append(len(found))
+            if end == batch.num_rows or len(sizes) == POSTED_ROWS or len(words) >= POSTED_WORDS:
+                yield batch.slice(start, end - start), sizes, words, nums
+                start, sizes, words, nums = end, [], [], []
+
+
+def _posted(stops: frozenset[str], batches: Iterator[pa.RecordBatch], apart: bool = False) -> Iterator[pa.RecordBatch]:
+    """(key, postings), or (part, key, docs, nums), of slices of (doc, lower-case texts); part is a slice's first doc."""
+    for part, sizes, words, nums in _counted(batches):
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        kept = _are_keywords(coded.dictionary, stops)
+        code, doc, num = coded.indices.to_numpy(), np.repeat(np.arange(part.num_rows), sizes), np.asarray(nums, np.int64)
+        code, doc, num = (x[kept[code]] for x in (code, doc, num))
+        total = np.zeros(part.num_rows, np.int64)
+        np.add.at(total, doc, num)
+        by_key, count = np.argsort(code, kind="stable"), np.bincount(code, minlength=len(kept))[kept]
+        doc, num = doc[by_key], pa.array(num[by_key])
+        docs, key = part.column(0).take(pa.array(doc)), coded.dictionary.filter(pa.array(kept))
+        ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+        if apart:
+            first = part.column(0).take(pa.array(np.zeros(len(key), np.int64)))
+            yield pa.RecordBatch.from_arrays([first, key, pa.ListArray.from_arrays(ends, docs), pa.ListArray.from_arrays(ends, num)], ["part", "key", "docs", "nums"])
+        else:
+            posting = pa.StructArray.from_arrays([docs, pa.array(total[doc]), num], [part.schema.field(0).name, "total", "num"])
+            yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(ends, posting)], ["key", "postings"])
 
 
 def _having(stops: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc) of each (doc, lower-case text) with a keyword; a text is read up to its first."""
+    """(doc) of each (doc, lower-case text) with a keyword; a text is read up to its first, and a null is known to have one."""
     for batch in batches:
         for start in range(0, batch.num_rows, POSTED_ROWS):
             part = batch.slice(start, POSTED_ROWS)
-            has = [any(_is_keyword(m.group(), stops) for m in _WORD.finditer(text)) for text in part.column(1).to_pylist()]
+            has = [text is None or any(_is_keyword(m.group(), stops) for m in _WORD.finditer(text)) for text in part.column(1).to_pylist()]
             yield part.select([0]).filter(pa.array(has, pa.bool_()))
 
 
+def _texts(texts: DataFrame, doc: str, text: Column) -> DataFrame:
+    """(doc, lower-case texts), one row for each document, dealt by document."""
+    return by_document(texts.select(doc, F.lower(text).alias("texts")), doc).groupBy(doc).agg(F.collect_list("texts").alias("texts"))
+
+
 def postings(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:
     """(key, postings of doc, total, num): how often a keyword stands in some documents, and how many each has in all.
 
     Words are counted where the texts are: a row leaves for each keyword of up to POSTED_ROWS documents, not for each
     word.  A document and a key meet once; a key has several rows."""
-    own = by_document(texts.select(doc, F.lower(text).alias("texts")), doc).groupBy(doc).agg(F.collect_list("texts").alias("texts"))
     posting = StructType([texts.schema[doc], *StructType.fromDDL("total long, num long")])
-    return own.mapInArrow(partial(_posted, frozenset(stop_words)), StructType().add("key", "string").add("postings", ArrayType(posting)))
+    return _texts(texts, doc, text).mapInArrow(partial(_posted, frozenset(stop_words)), StructType().add("key", "string").add("postings", ArrayType(posting)))
+
+
+def posting_lists(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:
+    """(part, place, key, docs, nums): postings as two lists, which take less room, with all keywords of a document in one part.
+
+    Documents are in order before they are cut into parts, so that a task that is run again makes the same ones; place
+    is the partition that a part is made in."""
+    kind = texts.schema[doc].dataType
+    made = StructType().add("part", kind).add("key", "string").add("docs", ArrayType(kind)).add("nums", ArrayType(LongType()))
+    told = _texts(texts, doc, text).sortWithinPartitions(doc).mapInArrow(partial(_posted, frozenset(stop_words), apart=True), made)
+    return told.withColumn("place", F.spark_partition_id())
 
 
 def _unposted(posted: DataFrame) -> DataFrame:
@@ -200,8 +236,12 @@ def by_document(texts: DataFrame, doc: str) -> DataFrame:
 
 
 def count_indexed(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:
-    """(n_docs), one row: how many documents have a keyword."""
-    told = texts.select(doc, F.lower(text).alias("text")).where("text is not null")
+    """(n_docs), one row: how many documents have a keyword.
+
+    Only texts go to Python that have no plain word, longer than all stop words, between blanks."""
+    least = max(map(len, stop_words), default=0) + 1
+    plain = F.rlike(text, F.lit(rf"(?:^|[ \n])[A-Za-z]{{{least},50}}(?:[ \n.,]|$)")) if least <= 50 else F.lit(False)
+    told = texts.where(text.isNotNull()).select(doc, F.when(~plain, F.lower(text)).alias("text"))
     return told.mapInArrow(partial(_having, frozenset(stop_words)), StructType([texts.schema[doc]])).agg(F.countDistinct(doc).alias("n_docs"))
 
 
@@ -229,6 +269,69 @@ def weights(counts: DataFrame, doc: str, stem: Column | None = None, least_sites
     return out.withColumn("weight", F.when(F.col("n_docs") < least_sites, share).otherwise(share * F.log10(F.col("n_docs") / F.col("stem_docs"))))
 
 
+def _millionths(x: np.ndarray) -> np.ndarray:
+    """x in millionths, rounded as Spark's round(x, 6): halves of the decimal form go up."""
+    big = np.abs(x) * 1e6
+    out = np.floor(big + 0.5)
+    for i in np.flatnonzero(np.abs(big - np.floor(big) - 0.5) < 1e-6):
+        out[i] = Decimal(repr(float(abs(x[i])))).scaleb(6).to_integral_value(ROUND_HALF_UP)
+    return np.copysign(out, x)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal first columns, which come one after the other, as one batch each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = batch.column(0).dictionary_encode("encode").indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if held and held[0].column(0)[0].as_py() != batch.column(0)[start].as_py():
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _top_posted(doc: str, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, postings of doc, weight), a document's first n, of (part, key, factor, docs, nums)."""
+    for batch in _parts(batches):
+        key, docs = batch.column(1), batch.column(3).flatten()
+        num, row = batch.column(4).flatten().to_numpy(), np.repeat(np.arange(len(key)), pc.list_value_length(batch.column(3)).to_numpy())
+        code = docs.dictionary_encode("encode").indices.to_numpy()
+        total = np.zeros(code.max(initial=-1) + 1, np.int64)
+        np.add.at(total, code, num)
+        weight = _millionths(num / total[code] * batch.column(2).to_numpy()[row])
+        kept = np.ones(len(row), bool)
+        many = np.flatnonzero((np.bincount(code, minlength=1) > n)[code])  # the others need no rank
+        if len(many):
+            place = np.empty(len(key), np.int64)
+            place[pc.sort_indices(key).to_numpy()] = np.arange(len(key))
+            many = many[np.lexsort((place[row[many]], -weight[many], code[many]))]
+            sizes = np.bincount(code[many])
+            rank = np.arange(len(many)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept[many[rank >= n]] = False
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(key)))]).astype(np.int32)
+        out = pa.StructArray.from_arrays([docs.filter(pa.array(kept)), pa.array(weight[kept] / 1e6)], [doc, "weight"])
+        yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array(ends), out)], ["key", "postings"])
+
+
+def top_posted(lists: DataFrame, doc: str, n_docs: DataFrame, n: int = 500, least_sites: int = 10) -> DataFrame:
+    """(key, doc, weight): of posting_lists, up to n keywords for each document, as top_keywords has them of weights that
+    are rounded to six places, as these are.
+
+    Lists are dealt by keyword for the number of documents, and back to where they came from; neither is a row for each
+    document and keyword.  The documents of a part are ranked together, and only those of more than n keywords."""
+    told = lists.withColumn("stem_docs", F.sum(F.size("docs")).over(Window.partitionBy("key"))).crossJoin(F.broadcast(n_docs))  # one row
+    told = told.withColumn("factor", F.when(F.col("n_docs") < least_sites, 1.0).otherwise(F.log10(F.col("n_docs") / F.col("stem_docs"))))
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = told.select("part", "key", "factor", "docs", "nums", "place").repartitionById(parts, F.col("place")).drop("place").sortWithinPartitions("part")
+    posting = StructType([StructField(doc, lists.schema["part"].dataType), *StructType.fromDDL("weight double")])
+    return _unposted(dealt.mapInArrow(partial(_top_posted, doc, n), StructType().add("key", "string").add("postings", ArrayType(posting))))
+
+
 def top_keywords(weighted: DataFrame, doc: str, n: int = 500) -> DataFrame:
     """weighted with rank, up to n for each document.
 

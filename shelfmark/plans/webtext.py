@@ -163,8 +163,7 @@ _WEIGHTS = f"WITH c AS ({D_WORDS}), t AS (SELECT *, sum(num) OVER (PARTITION BY
 
 def _weighted(spark: SparkSession, d: str, stem: Column | None = None) -> DataFrame:
     docs = FilesCatalog(spark, d).read("documents").select("doc_id", "text")
-    counts = web.postings(docs, "doc_id", F.col("text"))
-    return web.weights(counts, "doc_id", stem, n_docs=web.count_indexed(docs, "doc_id", F.col("text")))
+    return web.weights(web.postings(docs, "doc_id", F.col("text")), "doc_id", stem, n_docs=web.count_indexed(docs, "doc_id", F.col("text")))
 
 
 @BOOK.query("a4_weights", _WEIGHTS)
@@ -174,8 +173,9 @@ def weights(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.query("w3_top_keywords", f"SELECT doc_id, key, weight FROM ({_WEIGHTS}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, key) <= 500")
 def top_keywords(spark: SparkSession, d: str) -> DataFrame:
-    weighted = _weighted(spark, d).withColumn("weight", F.round("weight", 6))
-    return web.top_keywords(weighted, "doc_id", 500).select("doc_id", "key", "weight")
+    docs = FilesCatalog(spark, d).read("documents").select("doc_id", "text")
+    lists, n_docs = web.posting_lists(docs, "doc_id", F.col("text")), web.count_indexed(docs, "doc_id", F.col("text"))
+    return web.top_posted(lists, "doc_id", n_docs, 500).select("doc_id", "key", "weight")
 
 
 @BOOK.query("a3_stem_sums")

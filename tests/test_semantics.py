@@ -6,7 +6,9 @@ import datetime as dt
 import math
 import random
 import re
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -363,6 +365,43 @@ def test_postings_against_the_pattern(spark, monkeypatch):
     assert rows == [("b", [(0, 3, 2)]), ("a", [(0, 3, 1), (1, 1, 1)]), ("c", [(4, 2, 1)]), ("a", [(4, 2, 1)])]
 
 
+def test_top_keywords_deal_no_row_for_each_document_and_keyword(spark):
+    df = registry.queries()["w3_top_keywords"](spark, SF)
+    above, below = df._jdf.queryExecution().executedPlan().toString().split("Generate explode(postings")
+    assert "Exchange" not in above and "Sort" not in above and below.count("MapInArrow") == 3
+
+
+@pytest.mark.parametrize("least", [10, 1000])
+def test_top_posted_against_top_keywords(spark, request, least):
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    request.addfinalizer(partial(spark.conf.set, batch, spark.conf.get(batch)))
+    spark.conf.set(batch, 5)  # parts of five documents; rows of a part come in several batches
+    texts = [(f"d{i % 37}", " ".join(f"k{(i * 7 + j * j) % 53}{'é' * (j % 3 == 0)}longer" for j in range(i % 29)) or None) for i in range(90)] + [(None, "a cat kept"), (None, "cat"), ("of", "of the")]
+    df = spark.createDataFrame(texts, "doc string, text string")
+    n_docs = web.count_indexed(df, "doc", F.col("text"))
+    weights = web.weights(web.postings(df, "doc", F.col("text")), "doc", least_sites=least, n_docs=n_docs).withColumn("weight", F.round("weight", 6))
+    lists = web.posting_lists(df, "doc", F.col("text"))
+    assert lists.select("part").distinct().count() >= 8 and lists.select("part", F.explode("docs").alias("doc")).distinct().groupBy("doc").count().where("count > 1").isEmpty()
+    for n in (1, 4, 500):
+        expected = web.top_keywords(weights, "doc", n).select("doc", "key", "weight").collect()
+        got = web.top_posted(lists, "doc", n_docs, n, least).select("doc", "key", "weight").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, expected)) and len(got) > 30
+
+
+def test_millionths_are_as_rounded_by_spark(spark):
+    rng = np.random.default_rng(1)
+    halves = [float(f"{k}.{d:06}5") for k in (0, 1, 12) for d in rng.integers(0, 10**6, 300)]
+    x = np.array([0.0, 1 / 128, 3 / 128, 1.5e-6, 2.5e-6, 4.5e-7, 5e-7, -1 / 128, *halves, *np.nextafter(halves, 9), *np.nextafter(halves, 0), *rng.random(300)])
+    rounded = [r.y for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+    assert (web._millionths(x) / 1e6).tolist() == rounded
+
+
+def test_keywords_of_a_list_are_those_one_by_one():
+    words = ["the", "cat", "x" * 50, "x" * 51, "é", "éabc", "éab", "é" * 13 + "a" * 37, "é" * 12 + "a" * 38, "é" * 13 + "a" * 39, "\U0001d4b3word", "и", "e-mail", "\x7fabc", ""]
+    for stops in (frozenset(), frozenset(["the", "éabc"])):
+        assert web._are_keywords(pa.array(words), stops).tolist() == [web._is_keyword(w, stops) for w in words]
+
+
 def test_weights_of_stems_against_plain_sums(spark):
     rows = [(d, k, n) for d in range(12) for k, n in (("run", 1 + d), ("running", 2), ("cat", 3), (f"only{d}", 1)) if d % 3 or k != "cat"]
     counts = spark.createDataFrame(rows, "doc int, key string, num long")
