@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructField, StructType
 
 from shelfmark.functions import scalars as sc
 
@@ -118,8 +118,8 @@ def keyword_lists(counts: DataFrame, doc: str) -> DataFrame:
 #: WORD for Python, where \w is letters, numbers and the underscore; and ASCII characters that no word has, as blanks.
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _PARTED = bytes(c if c > 127 or chr(c).isalnum() or chr(c) == "-" else 32 for c in range(256))
-#: Documents that a row of postings is of at most, and about how many of their words a task holds at once.
-POSTED_ROWS, POSTED_WORDS = 4096, 1 << 20
+#: Documents that a row of postings is of at most (their places are 16 bits), and about how many of their words a task holds at once.
+POSTED_ROWS, POSTED_WORDS = 8192, 1 << 21
 
 
 def _is_keyword(word: str, stops: frozenset[str]) -> bool:
@@ -148,39 +148,40 @@ def _word_counts(texts: list[bytes]) -> Counter:
     return found
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[str], list[int]]]:
-    """Slices of (doc, lower-case texts): how many words each document has, its words and how often each stands there."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray], list[np.ndarray]]]:
+    """Slices of (doc, lower-case texts): their words, and for each document which it has and how often each stands there."""
     for batch in batches:
-        start, sizes, words, nums = 0, [], [], []
+        start, n, codes, nums, index = 0, 0, [], [], {}
         for end, texts in enumerate(batch.column(1).cast(pa.list_(pa.binary())), 1):
             found = _word_counts(texts.as_py())
-            words += found
-            nums += found.values()
-            sizes.append(len(found))
-            if end == batch.num_rows or len(sizes) == POSTED_ROWS or len(words) >= POSTED_WORDS:
-                yield batch.slice(start, end - start), sizes, words, nums
-                start, sizes, words, nums = end, [], [], []
+            codes.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int32, len(found)))
+            nums.append(np.fromiter(found.values(), np.int64, len(found)))
+            n += len(found)
+            if end == batch.num_rows or len(codes) == POSTED_ROWS or n >= POSTED_WORDS:
+                yield batch.slice(start, end - start), list(index), codes, nums
+                start, n, codes, nums, index = end, 0, [], [], {}
 
 
 def _posted(stops: frozenset[str], batches: Iterator[pa.RecordBatch], apart: bool = False) -> Iterator[pa.RecordBatch]:
-    """(key, postings), or (part, key, docs, nums), of slices of (doc, lower-case texts); part is a slice's first doc."""
-    for part, sizes, words, nums in _counted(batches):
-        coded = pa.array(words, pa.string()).dictionary_encode()
-        kept = _are_keywords(coded.dictionary, stops)
-        code, doc, num = coded.indices.to_numpy(), np.repeat(np.arange(part.num_rows), sizes), np.asarray(nums, np.int64)
+    """(key, postings), or (part, docs, key, at, nums), of slices of (doc, lower-case texts); part is a slice's first doc."""
+    for part, words, codes, nums in _counted(batches):
+        key = pa.array(words, pa.string())
+        kept = _are_keywords(key, stops)
+        code, doc, num = np.concatenate(codes), np.repeat(np.arange(part.num_rows), [len(c) for c in codes]), np.concatenate(nums)
         code, doc, num = (x[kept[code]] for x in (code, doc, num))
         total = np.zeros(part.num_rows, np.int64)
         np.add.at(total, doc, num)
         by_key, count = np.argsort(code, kind="stable"), np.bincount(code, minlength=len(kept))[kept]
-        doc, num = doc[by_key], pa.array(num[by_key])
-        docs, key = part.column(0).take(pa.array(doc)), coded.dictionary.filter(pa.array(kept))
+        doc, num, key = doc[by_key], num[by_key], key.filter(pa.array(kept))
         ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-        if apart:
-            first = part.column(0).take(pa.array(np.zeros(len(key), np.int64)))
-            yield pa.RecordBatch.from_arrays([first, key, pa.ListArray.from_arrays(ends, docs), pa.ListArray.from_arrays(ends, num)], ["part", "key", "docs", "nums"])
-        else:
-            posting = pa.StructArray.from_arrays([docs, pa.array(total[doc]), num], [part.schema.field(0).name, "total", "num"])
+        if not apart:
+            posting = pa.StructArray.from_arrays([part.column(0).take(pa.array(doc)), pa.array(total[doc]), pa.array(num)], [part.schema.field(0).name, "total", "num"])
             yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(ends, posting)], ["key", "postings"])
+        elif len(key):
+            first = part.column(0).take(pa.array(np.zeros(len(key), np.int64)))
+            docs = pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * len(key), pa.int32()), part.column(0))
+            at, nums = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (doc.astype(np.int16), num.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([first, docs, key, at, nums], ["part", "docs", "key", "at", "nums"])
 
 
 def _having(stops: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +208,12 @@ def postings(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) ->
 
 
 def posting_lists(texts: DataFrame, doc: str, text: Column, stop_words=STOP_WORDS) -> DataFrame:
-    """(part, place, key, docs, nums): postings as two lists, which take less room, with all keywords of a document in one part.
+    """(part, place, docs, key, at, nums): postings that take less room, with all keywords of a document in one part.
 
-    Documents are in order before they are cut into parts, so that a task that is run again makes the same ones; place
-    is the partition that a part is made in."""
+    at are places in the part's docs, which stand on one of its rows.  Documents are in order before they are cut into
+    parts, so that a task that is run again makes the same ones; place is the partition that a part is made in."""
     kind = texts.schema[doc].dataType
-    made = StructType().add("part", kind).add("key", "string").add("docs", ArrayType(kind)).add("nums", ArrayType(LongType()))
+    made = StructType().add("part", kind).add("docs", ArrayType(kind)).add("key", "string").add("at", ArrayType(ShortType())).add("nums", ArrayType(IntegerType()))
     told = _texts(texts, doc, text).sortWithinPartitions(doc).mapInArrow(partial(_posted, frozenset(stop_words), apart=True), made)
     return told.withColumn("place", F.spark_partition_id())
 
@@ -296,16 +297,16 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _top_posted(doc: str, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, postings of doc, weight), a document's first n, of (part, key, factor, docs, nums)."""
+    """(key, postings of doc, weight), a document's first n, of (part, docs, key, factor, at, nums)."""
     for batch in _parts(batches):
-        key, docs = batch.column(1), batch.column(3).flatten()
-        num, row = batch.column(4).flatten().to_numpy(), np.repeat(np.arange(len(key)), pc.list_value_length(batch.column(3)).to_numpy())
-        code = docs.dictionary_encode("encode").indices.to_numpy()
-        total = np.zeros(code.max(initial=-1) + 1, np.int64)
+        docs, key, factor = batch.column(1).flatten(), batch.column(2), batch.column(3).to_numpy()
+        code, num = (batch.column(i).flatten().to_numpy() for i in (4, 5))
+        row = np.repeat(np.arange(len(key)), pc.list_value_length(batch.column(4)).to_numpy())
+        total = np.zeros(len(docs), np.int64)
         np.add.at(total, code, num)
-        weight = _millionths(num / total[code] * batch.column(2).to_numpy()[row])
+        weight = _millionths(num / total[code] * factor[row])
         kept = np.ones(len(row), bool)
-        many = np.flatnonzero((np.bincount(code, minlength=1) > n)[code])  # the others need no rank
+        many = np.flatnonzero((np.bincount(code, minlength=len(docs)) > n)[code])  # the others need no rank
         if len(many):
             place = np.empty(len(key), np.int64)
             place[pc.sort_indices(key).to_numpy()] = np.arange(len(key))
@@ -314,7 +315,7 @@ def _top_posted(doc: str, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator
             rank = np.arange(len(many)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             kept[many[rank >= n]] = False
         ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(key)))]).astype(np.int32)
-        out = pa.StructArray.from_arrays([docs.filter(pa.array(kept)), pa.array(weight[kept] / 1e6)], [doc, "weight"])
+        out = pa.StructArray.from_arrays([docs.take(pa.array(code[kept])), pa.array(weight[kept] / 1e6)], [doc, "weight"])
         yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array(ends), out)], ["key", "postings"])
 
 
@@ -324,10 +325,11 @@ def top_posted(lists: DataFrame, doc: str, n_docs: DataFrame, n: int = 500, leas
 
     Lists are dealt by keyword for the number of documents, and back to where they came from; neither is a row for each
     document and keyword.  The documents of a part are ranked together, and only those of more than n keywords."""
-    told = lists.withColumn("stem_docs", F.sum(F.size("docs")).over(Window.partitionBy("key"))).crossJoin(F.broadcast(n_docs))  # one row
-    told = told.withColumn("factor", F.when(F.col("n_docs") < least_sites, 1.0).otherwise(F.log10(F.col("n_docs") / F.col("stem_docs"))))
+    told = lists.repartition("key").withColumn("stem_docs", F.sum(F.size("at")).over(Window.partitionBy("key")))
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = told.select("part", "key", "factor", "docs", "nums", "place").repartitionById(parts, F.col("place")).drop("place").sortWithinPartitions("part")
+    dealt = told.repartitionById(parts, F.col("place")).crossJoin(F.broadcast(n_docs))  # one row
+    factor = F.when(F.col("n_docs") < least_sites, 1.0).otherwise(F.log10(F.col("n_docs") / F.col("stem_docs")))
+    dealt = dealt.select("part", "docs", "key", factor.alias("factor"), "at", "nums").sortWithinPartitions("part")
     posting = StructType([StructField(doc, lists.schema["part"].dataType), *StructType.fromDDL("weight double")])
     return _unposted(dealt.mapInArrow(partial(_top_posted, doc, n), StructType().add("key", "string").add("postings", ArrayType(posting))))
 

@@ -369,6 +369,7 @@ def test_top_keywords_deal_no_row_for_each_document_and_keyword(spark):
     df = registry.queries()["w3_top_keywords"](spark, SF)
     above, below = df._jdf.queryExecution().executedPlan().toString().split("Generate explode(postings")
     assert "Exchange" not in above and "Sort" not in above and below.count("MapInArrow") == 3
+    assert re.search(r"Sort \[part#\d+L ASC[^\n]*\n[^\n]*Project", below.split("MapInArrow")[1]) and "Sort [doc_id" in below  # parts come whole
 
 
 @pytest.mark.parametrize("least", [10, 1000])
