@@ -148,26 +148,27 @@ def _word_counts(texts: list[bytes]) -> Counter:
     return found
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray], list[np.ndarray]]]:
-    """Slices of (doc, lower-case texts): their words, and for each document which it has and how often each stands there."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], pa.DictionaryArray, np.ndarray]]:
+    """Slices of (doc, lower-case texts): how many words each document has, its words and how often each stands there."""
     for batch in batches:
-        start, n, codes, nums, index = 0, 0, [], [], {}
+        start, n, sizes, words, nums = 0, 0, [], [], []
         for end, texts in enumerate(batch.column(1).cast(pa.list_(pa.binary())), 1):
             found = _word_counts(texts.as_py())
-            codes.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int32, len(found)))
+            words.append(pa.array(list(found), pa.string()))
             nums.append(np.fromiter(found.values(), np.int64, len(found)))
+            sizes.append(len(found))
             n += len(found)
-            if end == batch.num_rows or len(codes) == POSTED_ROWS or n >= POSTED_WORDS:
-                yield batch.slice(start, end - start), list(index), codes, nums
-                start, n, codes, nums, index = end, 0, [], [], {}
+            if end == batch.num_rows or len(sizes) == POSTED_ROWS or n >= POSTED_WORDS:
+                yield batch.slice(start, end - start), sizes, pa.concat_arrays(words).dictionary_encode(), np.concatenate(nums)
+                start, n, sizes, words, nums = end, 0, [], [], []
 
 
 def _posted(stops: frozenset[str], batches: Iterator[pa.RecordBatch], apart: bool = False) -> Iterator[pa.RecordBatch]:
     """(key, postings), or (part, docs, key, at, nums), of slices of (doc, lower-case texts); part is a slice's first doc."""
-    for part, words, codes, nums in _counted(batches):
-        key = pa.array(words, pa.string())
+    for part, sizes, coded, num in _counted(batches):
+        key, code = coded.dictionary, coded.indices.to_numpy()
         kept = _are_keywords(key, stops)
-        code, doc, num = np.concatenate(codes), np.repeat(np.arange(part.num_rows), [len(c) for c in codes]), np.concatenate(nums)
+        doc = np.repeat(np.arange(part.num_rows), sizes)
         code, doc, num = (x[kept[code]] for x in (code, doc, num))
         total = np.zeros(part.num_rows, np.int64)
         np.add.at(total, doc, num)
